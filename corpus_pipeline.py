@@ -7,8 +7,11 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.common import durable
+from factloom.llm.line_dedup import dedup_lines
+from factloom.llm.minhash_dedup import keep_one
 from factloom.llm.mixing import mixed_texts
 from factloom.llm.packing import pack_documents
 from factloom.llm.quality_rules import quality_rules
@@ -17,7 +20,25 @@ from factloom.llm.queries import BYTE_MODEL, tokenizer_path
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules(docs, into="__quality").where("__quality.kept").select(*[f"`{c}`" for c in docs.columns])
+    judged = quality_rules(docs, into="__quality")
+    # a generator, where a filter would be pushed below the rules' projections and compute them over and over
+    kept = F.explode(F.when(F.col("__quality.kept"), F.array(F.lit(True))))
+    return judged.select(*[f"`{c}`" for c in docs.columns], kept.alias("__kept")).drop("__kept")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines whose windows occurred before; those of which no line is left go."""
+    done = dedup_lines(docs).where("__n_removed = 0 or __n_removed < __n_lines")
+    done = done.withColumn("text", F.col("__kept"))
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col("__n_removed") > 0, changed).otherwise(F.col("n_chars")))
+    return done.select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(BYTE_MODEL))
 
 
-STAGES = [("quality_rules", keep_good), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality_rules", keep_good), ("line_dedup", drop_lines), ("minhash_dedup", drop_copies), ("source_mixing", mix), ("best_fit_packing", pack)]
 #: The draws of the mix and the order of packing have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
