@@ -1,11 +1,280 @@
-"""The engine's queries over the driver's tables."""
+"""The engine's operators over facts that the driver's tables encode."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as txt
+from ..functions import types as ty
+from ..operators import callgraph as cg
+from ..operators import cfg, ifds, pointsto, resolve, viewtree
+from ..tables import durable
+from .encoders import fact, sql
+
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+QUERIES: dict = {}
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _cha(s, d):
+    return cg.cha_edges(fact(s, d, "f_class"), fact(s, d, "f_extends"), fact(s, d, "f_method"), fact(s, d, "f_site"))
+
+
+def _flow(s, d):
+    return fact(s, d, "f_flow"), fact(s, d, "f_block")
+
+
+@query
+def class_closure(s: SparkSession, d: str) -> DataFrame:
+    return cg.descendants(fact(s, d, "f_class"), fact(s, d, "f_extends"))
+
+
+@query
+def class_children_count(s, d):
+    return class_closure(s, d).groupBy("anc").agg(F.count(F.lit(1)).alias("n_classes"))
+
+
+@query
+def cha_edges(s, d):
+    return _cha(s, d).select("caller", "target")
+
+
+@query
+def cha_reachable(s, d):
+    return cg.cha_reachable(fact(s, d, "f_entry"), durable(_cha(s, d), "cha"))
+
+
+@query
+def rta_edges(s, d):
+    return cg.rta_edges(fact(s, d, "f_entry"), durable(_cha(s, d), "cha"), durable(fact(s, d, "f_alloc"), "alloc"))
+
+
+@query
+def rta_instantiated(s, d):
+    return cg.rta(fact(s, d, "f_entry"), durable(_cha(s, d), "cha"), durable(fact(s, d, "f_alloc"), "alloc"))[1]
+
+
+@query
+def callgraph_outdegree(s, d):
+    return cg.out_degree(_cha(s, d))
+
+
+@query
+def points_to(s, d):
+    return pointsto.points_to(fact(s, d, "f_newobj"), *[durable(fact(s, d, f), f) for f in ("f_copy", "f_store", "f_load")])
+
+
+@query
+def stmt_next(s, d):
+    return cfg.next_statements(fact(s, d, "f_stmt"), fact(s, d, "f_flow"))
+
+
+@query
+def block_runs(s, d):
+    """Runs of equal event type in a user's events."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    new = F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)
+    runs = e.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_id"))
+
+
+@query
+def cfg_reachable(s, d):
+    return cfg.cfg_reachable(durable(fact(s, d, "f_flow"), "flow"), fact(s, d, "f_block"))
+
+
+@query
+def dominators(s, d):
+    return cfg.dominators(*_flow(s, d))
+
+
+@query
+def idom(s, d):
+    return cfg.immediate_dominators(*_flow(s, d))
+
+
+@query
+def dominance_frontier(s, d):
+    return cfg.dominance_frontier(*_flow(s, d))
+
+
+@query
+def loop_members(s, d):
+    return cfg.loop_members(*_flow(s, d))
+
+
+@query
+def block_kinds(s, d):
+    return cfg.block_kinds(*_flow(s, d))
+
+
+@query
+def def_use_local(s, d):
+    return cfg.local_def_use(fact(s, d, "f_stmt"))
+
+
+@query
+def def_use_global(s, d):
+    return cfg.global_def_use(durable(fact(s, d, "f_stmt"), "stmt"), durable(fact(s, d, "f_flow"), "flow"))
+
+
+@query
+def phi_sites(s, d):
+    defs = fact(s, d, "f_stmt").where("is_def").select("method", "name", "block").distinct()
+    return cfg.phi_sites(defs, durable(dominance_frontier(s, d), "frontier"))
+
+
+def _paths(s, d):
+    facts = [durable(fact(s, d, f), f) for f in ("f_normal", "f_enter", "f_exit", "f_ret", "f_past")]
+    return ifds.path_edges(fact(s, d, "f_seed"), *facts)
+
+
+@query
+def ifds_path_edges(s, d):
+    return _paths(s, d)
+
+
+@query
+def ifds_taint_report(s, d):
+    """Facts that may hold at a statement which kills them."""
+    return ifds.facts_at(_paths(s, d)).join(fact(s, d, "f_name").where("not is_gen").select("n", "d"), ["n", "d"])
+
+
+def _tags(s, d):
+    pages = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("tree"), F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("<(/?[a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)).alias("t"))
+    tags = pages.select("tree", F.posexplode("t").alias("pos", "raw"))
+    return tags.select("tree", "pos", F.lower(F.regexp_replace("raw", "^/", "")).alias("tag"), F.startswith("raw", F.lit("/")).alias("is_close"))
+
+
+@query
+def view_tree(s, d):
+    return viewtree.view_tree(_tags(s, d), VOID)
+
+
+@query
+def view_tree_depth(s, d):
+    return view_tree(s, d).groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("depth").alias("max_depth"))
+
+
+@query
+def import_resolution(s, d):
+    """Links of a page to pages of its host, null where no page has the path."""
+    p = fact(s, d, "f_page")
+    links = p.select("page_id", "host", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1))).alias("ord", "spec"))
+    target = p.groupBy("host", F.col("path").alias("spec")).agg(F.min("page_id").alias("target"))
+    return links.join(target, ["host", "spec"], "left").select("page_id", "ord", "spec", "target")
+
+
+@query
+def ranked_lookup(s, d):
+    """A brand as each nation sees it: the supplier of its own that has it, else one of its region, else any."""
+    c = sql(s, d, """
+        SELECT n.n_nationkey AS nation, m.name AS brand, CASE WHEN s_nationkey = n.n_nationkey THEN 1 WHEN o.n_regionkey = n.n_regionkey THEN 2 ELSE 3 END AS prio, s_suppkey AS suppkey
+        FROM f_method m JOIN supplier ON m.class_id = concat('S', CAST(s_suppkey AS STRING)) JOIN nation o ON o.n_nationkey = s_nationkey JOIN nation n ON n.n_nationkey IS NOT NULL""")
+    return resolve.ranked_lookup(c, ["nation", "brand"], ["prio", "suppkey"])
+
+
+@query
+def visible_classes(s, d):
+    return resolve.visible_names(fact(s, d, "f_scope"), fact(s, d, "f_declared"))
+
+
+@query
+def global_variables(s, d):
+    return resolve.shadowed_names(fact(s, d, "f_scope"), fact(s, d, "f_declared"))
+
+
+@query
+def type_of_literals(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    value = F.get_json_object("props", "$.k")
+    return e.select("event_id", value.alias("literal"), ty.literal_type(value).alias("type"), ty.literal_type(F.concat(F.lit("'"), F.col("event_type"), F.lit("'"))).alias("name_type"))
+
+
+@query
+def binop_types(s, d):
+    """The type of each operator between the values of events that follow each other."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    left = F.when(F.col("event_type").isin("click", "view"), "number").otherwise("string")
+    pairs = e.select("event_type", left.alias("l"), F.lead(left).over(w).alias("r")).where("r is not null")
+    ops = F.explode(F.array(*[F.lit(o) for o in ("+", "-", "<", "==", "&&", "??")])).alias("op")
+    typed = pairs.select("l", "r", ops).withColumn("type", ty.binop_type(F.col("op"), F.col("l"), F.col("r")))
+    return typed.groupBy("op", "l", "r", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def signature_render(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    types = F.array(F.lit("number"), F.element_at(F.split("p_type", " "), 1), F.lit("number"))
+    path = F.concat(F.regexp_replace("p_name", " ", "/"), F.lit(".d.ts"))
+    return p.select("p_partkey", txt.method_signature(F.concat(txt.file_signature(F.lit("shop"), path), F.col("p_brand")), F.col("p_name"), types).alias("signature"))
+
+
+@query
+def dot_lines(s, d):
+    """GraphViz lines of each method's flow graph, in order."""
+    line = F.format_string('  "m%d_%d" -> "m%d_%d"', "method", "src", "method", "dst")
+    e = fact(s, d, "f_flow").distinct().withColumn("line", line)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("src", "dst", "line"))), lambda x: x["line"]), "\n")
+    return e.groupBy("method").agg(F.concat(F.format_string("digraph m%d {\n", F.first("method")), body, F.lit("\n}")).alias("dot"))
+
+
+@query
+def member_overwrite(s, d):
+    p = s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("class"), F.col("p_type").alias("member"), "p_partkey", "p_size")
+    return resolve.last_member(p, ["class", "member"], ["p_partkey"])
+
+
+@query
+def source_order(s, d):
+    """The position of each order line when an order's lines print by date, then number."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")
+    return s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("position"))
+
+
+@query
+def asof_sourcemap(s, d):
+    """Each view with the value of the same user's next purchase."""
+    e = s.read.parquet(f"{d}/events.parquet").withColumn("pos", F.unix_micros("ts"))
+    views = e.where("event_type = 'view'").select("event_id", "user_id", "pos")
+    marks = e.where("event_type = 'purchase'").groupBy("user_id", "pos").agg(F.min("event_id").alias("mark"))
+    return resolve.next_position(views, marks, "user_id", "pos", "mark").select("event_id", "user_id", "mark")
+
+
+@query
+def content_hash_changes(s, d):
+    """Texts of a source that no document with a lesser id of that source has."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("source", F.sha2("text", 256).alias("hash"), "doc_id")
+    return docs.groupBy("source", "hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query
+def conversation_def_use(s, d):
+    """Each assistant turn with the user turn that it answers."""
+    c = s.read.parquet(f"{d}/conversations.parquet")
+    stmts = c.select(F.col("conv_id").alias("method"), F.lit(0).alias("block"), F.col("turn").alias("stmt"), F.col("turn").alias("idx"), F.lit("turn").alias("name"), (F.col("role") == "user").alias("is_def"))
+    return cfg.local_def_use(stmts).select(F.col("method").alias("conv_id"), "use", "def")
+
+
+@query
+def transpile_statistics(s, d):
+    """Count, total and mean of event values by type."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"), F.max(F.length("props")).alias("longest"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import oracle_sql as found
+
+    return found()
