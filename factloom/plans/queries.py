@@ -242,7 +242,7 @@ def source_order(s, d):
 @query
 def asof_sourcemap(s, d):
     """Each view with the value of the same user's next purchase."""
-    e = s.read.parquet(f"{d}/events.parquet").withColumn("pos", F.unix_micros("ts"))
+    e = s.read.parquet(f"{d}/events.parquet").withColumn("pos", F.col("ts"))
     views = e.where("event_type = 'view'").select("event_id", "user_id", "pos")
     marks = e.where("event_type = 'purchase'").groupBy("user_id", "pos").agg(F.min("event_id").alias("mark"))
     return resolve.next_position(views, marks, "user_id", "pos", "mark").select("event_id", "user_id", "mark")
