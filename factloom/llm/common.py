@@ -2,76 +2,22 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import drop, durable, fresh_dir  # noqa: F401
+
 #: A word: a maximal run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode, else the warehouse."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            local = spark.sparkContext.master.split("[")[0] == "local"
-            base = "file://" + tempfile.mkdtemp(prefix="factloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_factloom"
-            shared_dir.own = base
-    return base.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    fs, p = _path(spark, path)
-    fs.deleteOnExit(p)
-    return path
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors, and lets the shuffle files behind it go."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    release(spark)
-    back = spark.read.schema(schema).parquet(path)
-    back._factloom_path = path
-    return back
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`durable` that no later plan reads."""
-    path = getattr(df, "_factloom_path", None)
-    if path:
-        fs, p = _path(df.sparkSession, path)
-        fs.delete(p, True)
-
-
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.expr("0L") + F.regexp_count(text, F.lit(WORD)), F.lit(0).cast("long"))

@@ -227,7 +227,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     windows = unpacked(groups.select("one.*", (F.col("n") > 1).alias("many")))
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     single = windows.where("not many").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
-    return spans.unionByName(single)
+    out = durable(spans.unionByName(single), "spans")
+    drop(found)
+    drop(groups)
+    return out
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -238,7 +241,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), "text")
     spans = repeated_spans(keyed, width, gram, batches)
-    by_doc = spans.groupBy(F.col("doc_id").alias("d2"), F.col("mark").alias("m2")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    by_doc = durable(spans.groupBy(F.col("doc_id").alias("d2"), F.col("mark").alias("m2")).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "removals")
+    drop(spans)
     both = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("mark") == F.col("m2")), "left").select("doc_id", "text", "spans")
 
     def run(batches):
