@@ -64,11 +64,14 @@ FACTS = {
     "f_xstmt": """
         SELECT method, block, method * 1000 + block AS n, o_orderkey, o_orderpriority, c_nationkey, max(block) OVER (PARTITION BY method) AS last_block
         FROM f_block JOIN customer ON c_custkey = method""",
-    "f_xcall": """
-        SELECT a.n, a.method, min(CASE WHEN b.method > a.method THEN b.method END) AS up, min(b.method) AS low
-        FROM f_xstmt a JOIN (SELECT DISTINCT method, c_nationkey FROM f_xstmt) b ON a.c_nationkey = b.c_nationkey
-        WHERE a.o_orderpriority = '3-MEDIUM' AND a.block < a.last_block GROUP BY 1, 2""",
-    "f_callee": "SELECT n, method, coalesce(up, low) * 1000 + 1 AS start FROM f_xcall",
+    # a call at a block goes down a binary tree of the nation's customers by rank, and from its leaves back to the first
+    "f_rank": """
+        SELECT method, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY method) AS rank, count(*) OVER (PARTITION BY c_nationkey) AS size
+        FROM (SELECT DISTINCT method, c_nationkey FROM f_xstmt)""",
+    "f_callee": """
+        SELECT x.n, x.method, t.method * 1000 + 1 AS start FROM f_xstmt x JOIN f_rank r ON r.method = x.method
+        JOIN f_rank t ON t.c_nationkey = r.c_nationkey AND t.rank = CASE WHEN 2 * r.rank + x.block % 2 <= r.size THEN 2 * r.rank + x.block % 2 ELSE 1 END
+        WHERE x.o_orderpriority = '3-MEDIUM' AND x.block < x.last_block""",
     "f_name": "SELECT DISTINCT x.n, CAST(l_partkey % 8 + 1 AS BIGINT) AS d, l_linenumber % 2 = 1 AS is_gen FROM f_xstmt x JOIN lineitem ON l_orderkey = o_orderkey",
     "f_fact": "SELECT CAST(0 AS BIGINT) AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8",
     "f_xedge": """

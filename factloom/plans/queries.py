@@ -132,7 +132,7 @@ def phi_sites(s, d):
 
 def _paths(s, d):
     facts = [durable(fact(s, d, f), f) for f in ("f_normal", "f_enter", "f_exit", "f_ret", "f_past")]
-    return ifds.path_edges(fact(s, d, "f_seed"), *facts)
+    return ifds.path_edges(fact(s, d, "f_seed"), *facts, owner=F.floor(F.col("n") / 1000))
 
 
 @query

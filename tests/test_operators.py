@@ -1,5 +1,7 @@
 """Hand-written programs with known facts."""
 
+from pyspark.sql import functions as F
+
 from factloom.operators import callgraph as cg
 from factloom.operators import cfg, ifds, pointsto, resolve, viewtree
 from factloom.operators.cfg import Flow
@@ -54,7 +56,8 @@ def test_facts_return_to_every_call_site(spark, rows):
     ret = spark.createDataFrame([(2, 11, 1, 3, 1), (3, 11, 1, 4, 1)], "n long, exit long, d long, n2 long, d2 long")
     through = spark.createDataFrame([(2, 0, 3, 0), (3, 0, 4, 0)], "n long, d long, n2 long, d2 long")
     seeds = spark.createDataFrame([(1, 0, 1, 0)], "s long, d0 long, n long, d long")
-    assert rows(ifds.facts_at(ifds.path_edges(seeds, normal, call, exits, ret, through))) == [(11, 1), (3, 1), (4, 1)]
+    for owner in (None, F.floor(F.col("n") / 10)):
+        assert rows(ifds.facts_at(ifds.path_edges(seeds, normal, call, exits, ret, through, owner))) == [(11, 1), (3, 1), (4, 1)]
 
 
 def test_reexports_follow_aliases_and_end_on_cycles(spark, rows):
