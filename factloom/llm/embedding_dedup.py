@@ -4,7 +4,7 @@ Centres are fitted on a bounded sample; every vector is assigned. A vector lives
 border is so near that a partner may live there: for a partner at chord d, in a direction that does not favour the border, the
 distance to it shrinks by d / sqrt(dimensions) on average; ``REACH`` times that is searched. A pair is counted in one cell only.
 Equal vectors are one row with a weight. A task compares one block of a cell's own vectors with one block of all that are there, and
-emits counts by vector and a spanning forest of its links, not pairs.
+emits counts by vector and the groups its links make, not pairs.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def visits(reps: DataFrame, centres: np.ndarray, cosine: float, reach: float) ->
 
 
 def compare_blocks(placed: DataFrame, cosine: float, block: int) -> DataFrame:
-    """(a, b, n): links a-b that span the linked vectors of a task (n null), and what each vector's links add up to (b null)."""
+    """(a, b, n): each linked vector of a task with the least one its links reach there (n null), and what each vector's links add up to (b null)."""
     size = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("cell") == F.col("home")).cast("long")).alias("own")).where("own > 0")
     size = size.select("cell", F.ceil(F.col("own") / block).cast("int").alias("nl"), F.ceil(F.col("all") / block).cast("int").alias("nr"))
     spot = F.xxhash64("node")
@@ -103,37 +103,48 @@ def compare_blocks(placed: DataFrame, cosine: float, block: int) -> DataFrame:
         cell = t["cell"][0].as_py()
         node, weight, home = (t[c].to_numpy() for c in ("node", "weight", "home"))
         li, ri = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        out_a, out_b, total, seen, root = [], [], {}, set(), {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
+        a, b, n = [np.zeros(0, np.int64)] * 3
         if len(li) and len(ri):
             vec = t["vec"].combine_chunks()
-            probes = [set(p) for p in t["probes"].to_pylist()]
             get = lambda idx: np.frombuffer(b"".join(vec.take(pa.array(idx)).to_pylist()), np.float64).reshape(len(idx), -1)
-            x = get(li)
-            for part in np.array_split(ri, max(1, len(ri) // 512)):
-                for i, j in zip(*np.nonzero(x @ get(part).T >= cosine)):
-                    p, q = li[i], part[j]
-                    a, b = int(node[p]), int(node[q])
-                    if a == b:
-                        continue
-                    if home[q] == cell:
-                        if a > b:
-                            continue  # both live here: once
-                    elif int(home[q]) in probes[p] and home[q] < cell:
-                        continue  # also met where b lives
-                    total[a] = total.get(a, 0) + int(weight[q])
-                    total[b] = total.get(b, 0) + int(weight[p])
-                    if (ra := find(a)) != (rb := find(b)):
-                        root[max(ra, rb)] = min(ra, rb)
-                        out_a.append(a)
-                        out_b.append(b)
-        k = len(out_a)
-        return pa.table({"a": pa.array(out_a + list(total), pa.int64()), "b": pa.array(out_b + [None] * len(total), pa.int64()), "n": pa.array([None] * k + list(total.values()), pa.int64())})
+            x, y = get(li), get(ri)
+            hit = np.concatenate([x @ part.T >= cosine for part in np.array_split(y, max(1, len(ri) // 512))], 1)
+            # a pair that lives here counts once; one with a guest only where it is not met in an earlier cell as well
+            lives = home[ri] == cell
+            hit &= np.where(lives, node[li][:, None] < node[ri][None, :], node[li][:, None] != node[ri][None, :])
+            early = np.nonzero(~lives & (home[ri] < cell) & hit.any(0))[0]
+            if len(early):
+                probes = t["probes"].combine_chunks().take(pa.array(li))
+                seen = np.zeros((len(li), int(home[ri[early]].max()) - int(home[ri[early]].min()) + 1), bool)
+                low = int(home[ri[early]].min())
+                who = np.repeat(np.arange(len(li)), pa.compute.list_value_length(probes).to_numpy())
+                at = probes.flatten().to_numpy() - low
+                ok = (at >= 0) & (at < seen.shape[1])
+                seen[who[ok], at[ok]] = True
+                hit[:, early] &= ~seen[:, home[ri[early]] - low]
+            rows, cols = np.nonzero(hit.any(1))[0], np.nonzero(hit.any(0))[0]
+            if len(rows):
+                hit = hit[np.ix_(rows, cols)]
+                left, right = li[rows], ri[cols]
+                ids, place = np.unique(np.concatenate([node[left], node[right]]), return_inverse=True)
+                pl, pr = place[: len(left)], place[len(left) :]
+                n = np.zeros(len(ids), np.int64)
+                np.add.at(n, pl, (hit * weight[right]).sum(1))
+                np.add.at(n, pr, (hit.T * weight[left]).sum(1))
+                # least labels spread over the links of the block until none changes
+                label, most = np.arange(len(ids)), len(ids)
+                while True:
+                    new = label.copy()
+                    np.minimum.at(new, pl, np.where(hit, label[pr], most).min(1))
+                    np.minimum.at(new, pr, np.where(hit, label[pl][:, None], most).min(0))
+                    new = new[new]
+                    if (new == label).all():
+                        break
+                    label = new
+                a, b = ids, ids[label]
+        linked = a != b
+        k = int(linked.sum())
+        return pa.table({"a": pa.array([*a[linked].tolist(), *a.tolist()], pa.int64()), "b": pa.array([*b[linked].tolist(), *[None] * len(a)], pa.int64()), "n": pa.array([*[None] * k, *n.tolist()], pa.int64())})
 
     return both.groupBy("cell", "lb", "rb").applyInArrow(compare, "a long, b long, n long")
 
