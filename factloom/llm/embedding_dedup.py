@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import durable
 from .components import connected_components
 
-COSINE, CELL_ROWS, MOST_CELLS, SAMPLE, REACH, BLOCK = 0.9, 400, 4096, 20_000, 4.0, 2048
+COSINE, CELL_ROWS, MOST_CELLS, SAMPLE, REACH, BLOCK = 0.9, 400, 4096, 20_000, 1.0, 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
