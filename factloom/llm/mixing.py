@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
 from .quality_rules import let, words_of
 
 WEIGHTS = (5, 2, 1)
@@ -18,7 +19,7 @@ BLOCK_WORDS = 256
 MOST_EPOCHS = 3
 SHARD_SLOTS = 4_096
 #: Prefix sums run in groups of about this many rows, so that no task holds a whole source.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_500
 ROUNDS = 24
 
 
@@ -82,7 +83,8 @@ def drawn_blocks(targets: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS,
     begins = counts.select(F.col("source").alias("s2"), F.col("shard").alias("shard2"), F.col("c").alias("c2"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("begin"))
     place = Window.partitionBy("source", "shard", "c").orderBy("slot")
     slots = slots.withColumn("i", F.row_number().over(place) - 1)
-    slots = slots.join(begins, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("shard2")) & (F.col("c") == F.col("c2")))
+    # merge joins: a plan's guess of how many rows a range makes would broadcast what grows with the input
+    slots = slots.hint("merge").join(begins, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("shard2")) & (F.col("c") == F.col("c2")))
     index = (F.col("begin") + F.col("i")) % F.col("n_blocks")
     return slots.select("source", permuted(index, F.col("n_blocks"), F.col("seed")).alias("block")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
 
@@ -97,16 +99,17 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, se
     more than three times over. An empty table gives an empty one. Other columns are not read. Reruns agree.
     """
     sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text", "source").alias("key"))
+    sized = durable(sized, "sizes")
     targets = source_targets(sized, weights)
     length = F.least(F.lit(block).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / 1000)))
     targets = targets.withColumn("block_words", length).withColumn("n_blocks", F.ceil(F.col("source_size") / length))
     t = targets.select(F.col("source").alias("s3"), "source_size", "target", "block_words")
-    placed = offsets(sized, max(1, docs.count() // GROUP_ROWS)).join(t, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
+    placed = offsets(sized, max(1, sized.count() // GROUP_ROWS)).join(t, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
     start, end, length = F.col("start"), F.col("start") + F.col("size"), F.col("block_words")
     over = placed.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(start / length), F.floor((end - 1) / length))))
     part = F.struct((F.greatest(F.col("b") * length, start) - start).alias("from"), (F.least((F.col("b") + 1) * length, end) - start).alias("to"))
     drawn = drawn_blocks(targets, seed).select(F.col("source").alias("s4"), "block", "times")
-    over = over.withColumn("part", part).join(drawn, F.col("source").eqNullSafe(F.col("s4")) & (F.col("b") == F.col("block")), "left")
+    over = over.withColumn("part", part).hint("merge").join(drawn, F.col("source").eqNullSafe(F.col("s4")) & (F.col("b") == F.col("block")), "left")
     full = F.struct("part.from", "part.to", "times")
     got = over.groupBy("doc_id", "key", "source", "start", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("times") * (F.col("part.to") - F.col("part.from"))), F.lit(0)).alias("taken"),
