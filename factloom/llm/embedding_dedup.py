@@ -1,8 +1,8 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products inside them, one representative a group.
 
 Centres are fitted on a bounded sample; every vector is assigned. A vector lives in its nearest cell and visits each cell whose
-border is so near that a partner may live there: for a partner at chord d, in a direction that does not favour the border, the
-distance to it shrinks by d / sqrt(dimensions) on average; ``REACH`` times that is searched. A pair is counted in one cell only.
+border is within half the chord of the cosine: a linked pair's distances to the border between its homes add up to its chord at
+most, so one of both visits the other's home and no link is lost, whatever the dimension. A pair is counted in one cell only.
 Equal vectors are one row with a weight. A task compares one block of a cell's own vectors with one block of all that are there, and
 emits counts by vector and the groups its links make, not pairs.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import durable
 from .components import connected_components
 
-COSINE, CELL_ROWS, MOST_CELLS, SAMPLE, REACH, BLOCK = 0.9, 400, 4096, 20_000, 1.0, 2048
+COSINE, CELL_ROWS, MOST_CELLS, SAMPLE, BLOCK = 0.9, 400, 4096, 20_000, 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -51,14 +51,14 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def visits(reps: DataFrame, centres: np.ndarray, cosine: float, reach: float) -> DataFrame:
-    """(cell, home, guest_of, node, weight, probes, vec): a row for each cell a vector lives in or visits; vectors of other length than the centres share cell -length."""
+def visits(reps: DataFrame, centres: np.ndarray, cosine: float) -> DataFrame:
+    """(home, node, weight, probes, vec): a vector's home and all cells it lives in or visits; vectors of other length than the centres share cell -length."""
     chord = np.sqrt(2 - 2 * cosine)
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
     dim = centres.shape[1]
-    margin = reach * chord / np.sqrt(dim)
+    margin = chord / 2
     given = reps.sparkSession.sparkContext.broadcast((centres, apart))
-    fields = "cell int, home int, node long, weight long, probes array<int>, vec binary"
+    fields = "home int, node long, weight long, probes array<int>, vec binary"
 
     def run(batches):
         c, apart = given.value
@@ -72,30 +72,31 @@ def visits(reps: DataFrame, centres: np.ndarray, cosine: float, reach: float) ->
                     if n == dim:
                         s = x @ c.T
                         home = s.argmax(1)
-                        go = s.max(1)[:, None] - s <= margin * apart[home]
+                        go = s.max(1)[:, None] - s <= margin * apart[home] + 1e-9
                         go[np.arange(len(x)), home] = True
                     else:
                         home, go = np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
                     i, cell = np.nonzero(go)
                     cut = np.searchsorted(i, np.arange(len(x) + 1))
-                    probes = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(cell.astype(np.int32)))
-                    who = pa.array(i)
                     vec = pa.array([r.tobytes() for r in x], pa.binary())
                     if n != dim:
                         home, cell = home - int(n), cell - int(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[i].astype(np.int32)), part.column(0).take(who), part.column(1).take(who), probes.take(who), vec.take(who)], ["cell", "home", "node", "weight", "probes", "vec"])
+                    probes = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(cell.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), part.column(0), part.column(1), probes, vec], ["home", "node", "weight", "probes", "vec"])
 
     return reps.select("node", "weight", "embedding").mapInArrow(run, fields)
 
 
 def compare_blocks(placed: DataFrame, cosine: float, block: int) -> DataFrame:
     """(a, b, n): each linked vector of a task with the least one its links reach there (n null), and what each vector's links add up to (b null)."""
-    size = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("cell") == F.col("home")).cast("long")).alias("own")).where("own > 0")
+    at = placed.withColumn("cell", F.explode("probes"))
+    size = at.groupBy("cell").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("cell") == F.col("home")).cast("long")).alias("own")).where("own > 0")
     size = size.select("cell", F.ceil(F.col("own") / block).cast("int").alias("nl"), F.ceil(F.col("all") / block).cast("int").alias("nr"))
     spot = F.xxhash64("node")
-    rows = placed.join(size, "cell").withColumn("lb", F.pmod(spot, F.col("nl")).cast("int")).withColumn("rb", F.pmod(spot, F.col("nr")).cast("int"))
+    rows = at.join(size, "cell").withColumn("lb", F.pmod(spot, F.col("nl")).cast("int")).withColumn("rb", F.pmod(spot, F.col("nr")).cast("int"))
     left = rows.where("cell = home").withColumn("side", F.lit(0)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
-    right = rows.withColumn("side", F.lit(1)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
+    # only the left side's probes are read
+    right = rows.withColumn("probes", F.lit(None).cast("array<int>")).withColumn("side", F.lit(1)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
     both = left.unionByName(right).select("cell", "lb", "rb", "side", "home", "node", "weight", "probes", "vec")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -149,7 +150,7 @@ def compare_blocks(placed: DataFrame, cosine: float, block: int) -> DataFrame:
     return both.groupBy("cell", "lb", "rb").applyInArrow(compare, "a long, b long, n long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS, sample: int = SAMPLE, reach: float = REACH, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding).
 
     Null, zero and non-finite vectors, and those with null components, have no links and stand alone, as do vectors of a length to
@@ -168,7 +169,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CE
         main = np.bincount(lengths).argmax()
         x = unit(rows_of(few.take(pa.array(np.nonzero(lengths == main)[0]))))
         centres = spherical_kmeans(x, max(1, min(n // cell_rows, most_cells, len(x) // 4)))
-        placed = durable(visits(reps, centres, cosine, reach), "visits")
+        placed = durable(visits(reps, centres, cosine), "visits")
         found = durable(compare_blocks(placed, cosine, block), "links")
         comp = connected_components(found.where("b is not null"))
         counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))

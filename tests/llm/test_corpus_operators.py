@@ -207,6 +207,20 @@ def test_vectors(spark):
     assert got[104] == (1, 104, True) and got[105] == (1, 104, False)
 
 
+def test_vectors_of_low_rank_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 5)) @ rng.normal(size=(5, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(table, cell_rows=20, block=300).collect()}
+    assert [got[i].n_links for i in range(len(x))] == links.sum(1).tolist()
+    component = list(range(len(x)))
+    while (new := [min([component[i], *(component[j] for j in np.nonzero(links[i])[0])]) for i in range(len(x))]) != component:
+        component = new
+    assert [got[i].component_id for i in range(len(x))] == component
+
+
 def test_packing(docs, corpus, empty):
     from tokenizers import Tokenizer
 
