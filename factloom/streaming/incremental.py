@@ -1,8 +1,8 @@
-"""Re-analysis of changed files as a stream: a file source, and per micro-batch only contents that were not seen are parsed."""
+"""Re-analysis of changed files as a stream: a file source, and per micro-batch only files whose text is not the last known of their path are parsed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,20 +10,39 @@ from ..sources.project import parse_files
 
 
 def watch(spark: SparkSession, folder: str, extension: str = ".ts") -> DataFrame:
-    """(path, code, hash) of files as they appear under ``folder``."""
+    """(path, code, hash, modified) of files as they appear under ``folder``.
+
+    Spark's file source gives each path once: files rewritten in place need a stream of their versions, or ``changed_files``.
+    """
     found = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").text(folder)
-    return found.select(F.input_file_name().alias("path"), F.col("value").alias("code"), F.sha2("value", 256).alias("hash"))
+    return found.select(F.input_file_name().alias("path"), F.col("value").alias("code"), F.sha2("value", 256).alias("hash"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
 def analyse_changes(stream: DataFrame, project: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append the facts of new contents to ``out``/facts and their hashes to ``out``/seen; a batch that runs again replaces itself."""
+    """Append the facts of changed files to ``out``/facts and their (path, hash) to ``out``/files; a batch that runs again replaces itself.
+
+    A file is parsed where its hash is not the last one of its path, whatever other files hold; the facts of a path's greatest batch
+    are its current ones. Of a path's versions in one batch the last by ``modified`` counts, all of them in a stream without that
+    column. ``out``/seen lists each content hash once.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = spark.read.schema("hash string, batch long").parquet(f"{out}/seen") if _exists(spark, f"{out}/seen") else spark.createDataFrame([], "hash string, batch long")
-        new = batch.dropDuplicates(["hash"]).join(seen.where(F.col("batch") < number).select("hash"), "hash", "left_anti").persist()
+
+        def earlier(name: str, schema: str) -> DataFrame:
+            path = f"{out}/{name}"
+            return (spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)).where(F.col("batch") < number)
+
+        if "modified" in batch.columns:
+            last = F.rank().over(Window.partitionBy("path").orderBy(F.col("modified").desc()))
+            batch = batch.withColumn("nth", last).where("nth = 1")
+        known = earlier("files", "path string, hash string, batch long")
+        known = known.withColumn("last", F.max("batch").over(Window.partitionBy("path"))).where("batch = last")
+        new = batch.dropDuplicates(["path", "hash"]).join(known.select("path", "hash"), ["path", "hash"], "left_anti").persist()
         parse_files(new, project).write.mode("overwrite").parquet(f"{out}/facts/batch={number}")
-        new.select("hash").write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
+        seen = earlier("seen", "hash string, batch long")
+        new.select("hash").distinct().join(seen.select("hash"), "hash", "left_anti").write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
+        new.select("path", "hash").write.mode("overwrite").parquet(f"{out}/files/batch={number}")
         new.unpersist()
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -106,3 +106,22 @@ def test_stream_parses_only_new_contents(spark, tmp_path):
     assert spark.read.parquet(f"{out}/seen").count() == 1
     incremental.analyse_changes(incremental.watch(spark, str(src)), "p", str(out), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(f"{out}/seen").count() == 2
+
+
+def test_stream_keeps_equal_files_apart_and_follows_paths(spark, tmp_path):
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    for name in ("a.ts", "b.ts"):
+        (src / name).write_text("class A {}")
+    incremental.analyse_changes(incremental.watch(spark, str(src)), "p", str(out), str(tmp_path / "cp")).awaitTermination()
+    classes = [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(f"{out}/facts").where("table = 'class' and row like '%\"A\"%'").collect()]
+    assert sorted(classes) == ["a.ts", "b.ts"] and spark.read.parquet(f"{out}/seen").count() == 1
+
+    versions, out = tmp_path / "versions", tmp_path / "out2"
+    for k, code in enumerate(["class A {}", "class B {}", "class A {}", "class A {}"]):
+        spark.createDataFrame([("x.ts", code, code)], "path string, code string, hash string").write.mode("append").parquet(str(versions))
+        stream = spark.readStream.schema("path string, code string, hash string").parquet(str(versions))
+        incremental.analyse_changes(stream, "p", str(out), str(tmp_path / "cp2")).awaitTermination()
+    got = spark.read.parquet(f"{out}/files").orderBy("batch").collect()
+    assert [(r.path, r.hash, r.batch) for r in got] == [("x.ts", "class A {}", 0), ("x.ts", "class B {}", 1), ("x.ts", "class A {}", 2)]
+    assert sorted({r.batch for r in spark.read.parquet(f"{out}/facts").collect()}) == [0, 1, 2]
