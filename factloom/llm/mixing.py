@@ -1,8 +1,8 @@
 """Mixing sources to target weights with DataFrame operations only.
 
 The words of a source, its documents laid end to end, are cut into blocks of fixed length. Each source gets as many slots as its
-target needs. Every slot falls in an output shard by a keyed hash, so the counts of a source over the shards are a multinomial
-draw while its total stays exact. Slots are numbered along the shards and mapped to blocks by a keyed permutation of the source's
+target needs. Every slot falls by a keyed hash in one of the output shards that all sources share, so the counts of the sources in a
+shard are drawn as multinomials while each source's total stays exact. Slots are numbered along the shards and mapped to blocks by a keyed permutation of the source's
 block numbers, once around per epoch; blocks join the documents they overlap by block number.
 """
 
@@ -67,33 +67,34 @@ def offsets(sized: DataFrame, groups: int) -> DataFrame:
 
 
 def drawn_blocks(targets: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS, chunk: int = 10_000) -> DataFrame:
-    """(source, block, times): how often the mix takes each block that it takes."""
+    """(source, block, times, shards): how often the mix takes each block that it takes, and the output shard of each time."""
     whole = F.floor(F.col("target") / F.col("source_size"))
     rest = F.round((F.col("target") - whole * F.col("source_size")) / F.col("block_words")).cast("long")
     t = targets.where("source_size > 0").withColumn("slots", F.least(whole * F.col("n_blocks") + rest, F.col("n_blocks") * MOST_EPOCHS))
-    t = t.where("slots > 0").select("source", "n_blocks", "slots", F.xxhash64(F.lit(seed), "source", F.col("source").isNull()).alias("seed"))
+    t = t.where("slots > 0").select("source", "n_blocks", "slots", F.sum("slots").over(Window.partitionBy(F.lit(1))).alias("all_slots"), F.xxhash64(F.lit(seed), "source", F.col("source").isNull()).alias("seed"))
     # ranges of slots first, so that a large source is spread before its slots become rows
     ranges = t.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk)))).repartition("source", "c")
     slots = ranges.withColumn("slot", F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.col("slots")) - 1)))
-    shards = F.greatest(F.lit(1).cast("long"), F.floor(F.col("slots") / shard_slots))
+    shards = F.greatest(F.lit(1).cast("long"), F.floor(F.col("all_slots") / shard_slots))
     slots = slots.withColumn("shard", F.pmod(F.xxhash64("seed", F.lit("shard"), "slot"), shards))
-    # the multinomial counts of a source by shard (and range), and where each begins along the shards
-    counts = slots.groupBy("source", "shard", "c").agg(F.count(F.lit(1)).alias("n"))
-    along = Window.partitionBy("source").orderBy("shard", "c").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select(F.col("source").alias("s2"), F.col("shard").alias("shard2"), F.col("c").alias("c2"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("begin"))
-    place = Window.partitionBy("source", "shard", "c").orderBy("slot")
+    # the multinomial counts of a source by shard, and where each begins along the shards
+    counts = slots.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select(F.col("source").alias("s2"), F.col("shard").alias("shard2"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("begin"))
+    place = Window.partitionBy("source", "shard").orderBy("slot")
     slots = slots.withColumn("i", F.row_number().over(place) - 1)
     # merge joins: a plan's guess of how many rows a range makes would broadcast what grows with the input
-    slots = slots.hint("merge").join(begins, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("shard2")) & (F.col("c") == F.col("c2")))
+    slots = slots.hint("merge").join(begins, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("shard2")))
     index = (F.col("begin") + F.col("i")) % F.col("n_blocks")
-    return slots.select("source", permuted(index, F.col("n_blocks"), F.col("seed")).alias("block")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    took = slots.select("source", "shard", permuted(index, F.col("n_blocks"), F.col("seed")).alias("block"))
+    return took.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+def mix_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Rows of (doc_id, key, size, source_size, target, taken, parts), one a document.
 
-    ``parts`` are structs (from, to, times): ranges of the document's words in order and how often the mix takes them; ``taken``
-    is the sum of their words times that. ``key`` hashes doc_id, text and source. A source's block length is a thousandth of its
+    ``parts`` are structs (from, to, times, shards): ranges of the document's words in order, how often the mix takes them and the
+    output shard of each time, of about ``shard_slots`` blocks of all sources together; ``taken`` is the sum of their words times that. ``key`` hashes doc_id, text and source. A source's block length is a thousandth of its
     words, 1 at least and ``block`` at most. Null doc_ids and sources are values like any other; null and empty texts have size
     0 and no parts; rows repeated in the table are documents of their own, each with its own range of words. No document is taken
     more than three times over. An empty table gives an empty one. Other columns are not read. Reruns agree.
@@ -108,9 +109,9 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, se
     start, end, length = F.col("start"), F.col("start") + F.col("size"), F.col("block_words")
     over = placed.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(start / length), F.floor((end - 1) / length))))
     part = F.struct((F.greatest(F.col("b") * length, start) - start).alias("from"), (F.least((F.col("b") + 1) * length, end) - start).alias("to"))
-    drawn = drawn_blocks(targets, seed).select(F.col("source").alias("s4"), "block", "times")
+    drawn = drawn_blocks(targets, seed, shard_slots).select(F.col("source").alias("s4"), "block", "times", "shards")
     over = over.withColumn("part", part).hint("merge").join(drawn, F.col("source").eqNullSafe(F.col("s4")) & (F.col("b") == F.col("block")), "left")
-    full = F.struct("part.from", "part.to", "times")
+    full = F.struct("part.from", "part.to", "times", "shards")
     got = over.groupBy("doc_id", "key", "source", "start", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("times") * (F.col("part.to") - F.col("part.from"))), F.lit(0)).alias("taken"),
         F.sort_array(F.collect_list(F.when(F.col("times").isNotNull(), full))).alias("parts"),

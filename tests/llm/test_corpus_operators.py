@@ -89,6 +89,23 @@ def test_mixing(docs, corpus, empty):
     assert mixing.mix_documents(empty).collect() == []
 
 
+def test_mixing_shards_hold_all_sources(docs):
+    got = mixing.mix_documents(docs, block=1, shard_slots=400).collect()
+    held, shards = Counter(), {}
+    for r in got:
+        for p in r.parts:
+            assert len(p.shards) == p.times
+            for s in p.shards:
+                held[s] += p["to"] - p["from"]
+                shards.setdefault(r.target, Counter())[s] += p["to"] - p["from"]
+    assert sum(held.values()) == sum(r.taken for r in got)
+    total = sum(held.values())
+    assert sorted(held) == list(range(total // 400)) and all(abs(n - total / len(held)) < total / len(held) / 3 for n in held.values())
+    # the sources share the shards, with counts that vary about their weights
+    for by in shards.values():
+        assert len(by) > len(held) / 2 and len(set(by.values())) > 1
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
