@@ -1,9 +1,10 @@
 """Mixing sources to target weights with DataFrame operations only.
 
 The words of a source, its documents laid end to end, are cut into blocks of fixed length. Each source gets as many slots as its
-target needs. Every slot falls by a keyed hash in one of the output shards that all sources share, so the counts of the sources in a
-shard are drawn as multinomials while each source's total stays exact. Slots are numbered along the shards and mapped to blocks by a keyed permutation of the source's
-block numbers, once around per epoch; blocks join the documents they overlap by block number.
+target needs, of the last of them as many words as are left. Every slot falls by a keyed hash in one of the output shards that
+all sources share, so the counts of the sources in a shard are drawn as multinomials while each source's total stays exact.
+Slots are numbered along the shards and mapped to blocks by a keyed permutation of the source's block numbers, once around per
+epoch; blocks join the documents they overlap by block number.
 """
 
 from __future__ import annotations
@@ -43,14 +44,15 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
     return s.select("source", "source_size", "source_docs", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-def permuted(k: Column, n: Column, seed: Column) -> Column:
-    """A keyed permutation of 0..n-1 for any n: each round swaps k with (key - k) mod n, or not, by a bit of a hash of the greater of both."""
+def permuted(k: Column, n: Column, seed: Column, back: bool = False) -> Column:
+    """A keyed permutation of 0..n-1 for any n: each round swaps k with (key - k) mod n, or not, by a bit of a hash of the greater of both. A round undoes itself; ``back`` takes them in reverse."""
 
     def round_(acc: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(seed, r), n) - acc, n)
         return F.when(F.pmod(F.xxhash64(seed, r, F.greatest(acc, other)), F.lit(2)) == 0, acc).otherwise(other)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), k, round_)
+    ends = (ROUNDS, 1) if back else (1, ROUNDS)
+    return F.aggregate(F.sequence(*map(F.lit, ends)), k, round_)
 
 
 def offsets(sized: DataFrame, groups: int) -> DataFrame:
@@ -66,12 +68,21 @@ def offsets(sized: DataFrame, groups: int) -> DataFrame:
     return d.withColumn("start", F.col("base") + F.col("inner")).drop("s2", "g2", "base", "inner", "spread", "g")
 
 
-def drawn_blocks(targets: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS, chunk: int = 10_000) -> DataFrame:
-    """(source, block, times, shards): how often the mix takes each block that it takes, and the output shard of each time."""
+def drawn_blocks(targets: DataFrame, block: int, seed: int, shard_slots: int = SHARD_SLOTS, chunk: int = 10_000) -> DataFrame:
+    """(source, block, lo, hi, times, shards): how often the mix takes the words lo to hi of each block that it takes, and the output shard of each time.
+
+    Blocks are taken whole but for a source's last slot, which ends where its target, rounded to words, is met.
+    """
     whole = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.round((F.col("target") - whole * F.col("source_size")) / F.col("block_words")).cast("long")
-    t = targets.where("source_size > 0").withColumn("slots", F.least(whole * F.col("n_blocks") + rest, F.col("n_blocks") * MOST_EPOCHS))
-    t = t.where("slots > 0").select("source", "n_blocks", "slots", F.sum("slots").over(Window.partitionBy(F.lit(1))).alias("all_slots"), F.xxhash64(F.lit(seed), "source", F.col("source").isNull()).alias("seed"))
+    t = targets.where("source_size > 0").withColumn("seed", F.xxhash64(F.lit(seed), "source", F.col("source").isNull())).withColumn("whole", whole)
+    t = t.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    # what the last block lacks, and the slot of an epoch that takes it
+    t = t.withColumn("lack", F.col("n_blocks") * block - F.col("source_size")).withColumn("lacks_at", permuted(F.col("n_blocks") - 1, F.col("n_blocks"), F.col("seed"), back=True))
+    need = F.ceil(F.col("rest") / block)
+    t = t.withColumn("more", F.when(need <= F.col("lacks_at"), need).otherwise(F.ceil((F.col("rest") + F.col("lack")) / block)))
+    before = (F.col("more") - 1) * block - F.when(F.col("lacks_at") < F.col("more") - 1, F.col("lack")).otherwise(0)
+    t = t.withColumn("cut", F.when(F.col("more") > 0, F.col("rest") - before).otherwise(block)).withColumn("slots", F.col("whole") * F.col("n_blocks") + F.col("more"))
+    t = t.where("slots > 0").select("source", "n_blocks", "slots", "cut", F.sum("slots").over(Window.partitionBy(F.lit(1))).alias("all_slots"), "seed")
     # ranges of slots first, so that a large source is spread before its slots become rows
     ranges = t.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk)))).repartition("source", "c")
     slots = ranges.withColumn("slot", F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.col("slots")) - 1)))
@@ -85,36 +96,44 @@ def drawn_blocks(targets: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS,
     slots = slots.withColumn("i", F.row_number().over(place) - 1)
     # merge joins: a plan's guess of how many rows a range makes would broadcast what grows with the input
     slots = slots.hint("merge").join(begins, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("shard2")))
-    index = (F.col("begin") + F.col("i")) % F.col("n_blocks")
-    took = slots.select("source", "shard", permuted(index, F.col("n_blocks"), F.col("seed")).alias("block"))
-    return took.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    place = F.col("begin") + F.col("i")
+    words = F.when(place == F.col("slots") - 1, F.col("cut")).otherwise(block).cast("long")
+    took = slots.select("source", F.struct(words.alias("words"), "shard").alias("time"), permuted(place % F.col("n_blocks"), F.col("n_blocks"), F.col("seed")).alias("block"))
+    took = took.groupBy("source", "block").agg(F.sort_array(F.collect_list("time")).alias("all")).withColumn("cut", F.col("all")[0]["words"])
+    full = F.filter("all", lambda x: x["words"] == block)
+    part = lambda lo, hi, x: F.struct(lo.alias("lo"), hi.alias("hi"), F.size(x).cast("long").alias("times"), F.sort_array(F.transform(x, lambda y: y["shard"])).alias("shards"))
+    end = F.lit(block).cast("long")
+    parts = F.filter(F.array(part(F.lit(0).cast("long"), F.col("cut"), F.col("all")), part(F.col("cut"), end, full)), lambda x: (x["lo"] < x["hi"]) & (x["times"] > 0))
+    return took.select("source", "block", F.explode(parts).alias("p")).select("source", "block", "p.*")
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Rows of (doc_id, key, size, source_size, target, taken, parts), one a document.
 
-    ``parts`` are structs (from, to, times, shards): ranges of the document's words in order, how often the mix takes them and the
-    output shard of each time, of about ``shard_slots`` blocks of all sources together; ``taken`` is the sum of their words times that. ``key`` hashes doc_id, text and source. A source's block length is a thousandth of its
-    words, 1 at least and ``block`` at most. Null doc_ids and sources are values like any other; null and empty texts have size
-    0 and no parts; rows repeated in the table are documents of their own, each with its own range of words. No document is taken
-    more than three times over. An empty table gives an empty one. Other columns are not read. Reruns agree.
+    ``parts`` are structs (from, to, times, shards): ranges of the document's words in order, how often the mix takes them and
+    the output shard of each time, of about ``shard_slots`` blocks of all sources together; ``taken`` is the sum of their words
+    times that. ``key`` hashes doc_id, text and source. Blocks have ``block`` words in every source, but for its last one and
+    the last one taken, so that a source's ``taken`` adds up to its target, rounded. Null doc_ids and sources are values like
+    any other; null and empty texts have size 0 and no parts; rows repeated in the table are documents of their own, each with
+    its own range of words. No document is taken more than three times over. An empty table gives an empty one. Other columns
+    are not read. Reruns agree.
     """
     sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text", "source").alias("key"))
     sized = durable(sized, "sizes")
     targets = source_targets(sized, weights)
-    length = F.least(F.lit(block).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / 1000)))
-    targets = targets.withColumn("block_words", length).withColumn("n_blocks", F.ceil(F.col("source_size") / length))
-    t = targets.select(F.col("source").alias("s3"), "source_size", "target", "block_words")
+    targets = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    t = targets.select(F.col("source").alias("s3"), "source_size", "target")
     placed = offsets(sized, max(1, sized.count() // GROUP_ROWS)).join(t, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
-    start, end, length = F.col("start"), F.col("start") + F.col("size"), F.col("block_words")
-    over = placed.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(start / length), F.floor((end - 1) / length))))
-    part = F.struct((F.greatest(F.col("b") * length, start) - start).alias("from"), (F.least((F.col("b") + 1) * length, end) - start).alias("to"))
-    drawn = drawn_blocks(targets, seed, shard_slots).select(F.col("source").alias("s4"), "block", "times", "shards")
-    over = over.withColumn("part", part).hint("merge").join(drawn, F.col("source").eqNullSafe(F.col("s4")) & (F.col("b") == F.col("block")), "left")
+    start, end = F.col("start"), F.col("start") + F.col("size")
+    over = placed.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(start / block), F.floor((end - 1) / block))))
+    drawn = drawn_blocks(targets, block, seed, shard_slots).select(F.col("source").alias("s4"), "block", "lo", "hi", "times", "shards")
+    over = over.hint("merge").join(drawn, F.col("source").eqNullSafe(F.col("s4")) & (F.col("b") == F.col("block")), "left")
+    part = F.struct((F.greatest(F.col("b") * block + F.col("lo"), start) - start).alias("from"), (F.least(F.col("b") * block + F.col("hi"), end) - start).alias("to"))
+    over = over.withColumn("part", part).withColumn("held", F.col("part.from") < F.col("part.to"))
     full = F.struct("part.from", "part.to", "times", "shards")
     got = over.groupBy("doc_id", "key", "source", "start", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(F.col("times") * (F.col("part.to") - F.col("part.from"))), F.lit(0)).alias("taken"),
-        F.sort_array(F.collect_list(F.when(F.col("times").isNotNull(), full))).alias("parts"),
+        F.coalesce(F.sum(F.when(F.col("held"), F.col("times") * (F.col("part.to") - F.col("part.from")))), F.lit(0)).alias("taken"),
+        F.sort_array(F.collect_list(F.when(F.col("times").isNotNull() & F.col("held"), full))).alias("parts"),
     )
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("parts", F.array().cast(got.schema["parts"].dataType))
     names = ["doc_id", "key", "size", "source_size", "target", "taken", "parts"]

@@ -106,6 +106,26 @@ def test_mixing_shards_hold_all_sources(docs):
         assert len(by) > len(held) / 2 and len(set(by.values())) > 1
 
 
+def test_mixing_blocks_have_one_length(spark):
+    sizes = {"a": 20_000, "b": 300_000, "c": 700, "d": 1_000}
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(n)), s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    for seed in (7, 8):
+        got = mixing.mix_documents(docs, weights=(1, 2, 40, 1), seed=seed).collect()
+        for r in got:
+            assert abs(r.taken - r.target) <= 0.5 and r.taken == sum((p["to"] - p["from"]) * p.times for p in r.parts)
+            assert all(x["to"] <= y["from"] for x, y in zip(r.parts, r.parts[1:])) and all(p["from"] < p["to"] and len(p.shards) == p.times <= 3 for p in r.parts)
+            edges = {e for p in r.parts for e in (p["from"], p["to"])} - {r.size}
+            assert sum(e % 256 > 0 for e in edges) <= 1
+
+
+def test_permutation_back(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 100):
+        there = mixing.permuted(F.col("id"), F.lit(n), F.lit(5))
+        assert all(r[0] == r[1] for r in spark.range(n).select("id", mixing.permuted(there, F.lit(n), F.lit(5), back=True)).collect())
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
