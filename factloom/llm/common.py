@@ -23,6 +23,58 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.expr("0L") + F.regexp_count(text, F.lit(WORD)), F.lit(0).cast("long"))
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """``r1`` and ``r2``, 128 bits over the columns: what tells rows apart where ids are null or repeat."""
+    return _digests([F.col(c) for c in columns])
+
+
+def _digests(columns: list[Column]) -> list[Column]:
+    # a hash passes over nulls: which columns are null counts as well
+    return [F.xxhash64(F.lit(i), *columns, *[c.isNull() for c in columns]).alias(f"r{i + 1}") for i in range(2)]
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each lengthened until it differs from all of ``taken``, in any case: names for helper columns beside a user's."""
+    have, out = {c.lower() for c in taken}, []
+    for w in wanted:
+        while w.lower() in have:
+            w += "_"
+        have.add(w.lower())
+        out.append(w)
+    return out
+
+
+def whole_row(df: DataFrame) -> list[Column]:
+    """128 bits over all columns that can be hashed: an order of rows that only equal ones tie in."""
+    return _digests([F.col(f"`{f.name}`") for f in df.schema if not has_map(f.dataType)])
+
+
+def has_map(kind) -> bool:
+    """Whether a type is, or holds, one that Spark cannot hash."""
+    from pyspark.sql import types as t
+
+    if isinstance(kind, t.ArrayType):
+        return has_map(kind.elementType)
+    if isinstance(kind, t.StructType):
+        return any(has_map(f.dataType) for f in kind)
+    return isinstance(kind, (t.MapType, t.VariantType))
+
+
+def semi_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """Rows of ``left`` with keys among the distinct ones of ``right``, a stored table whose ``n`` tells how many such rows there are, at least about.
+
+    Keys of more than one row in ``share`` are ``share`` at most: these are broadcast, and their rows are dealt out by their other
+    columns instead of meeting in one task. ``left`` is made once.
+    """
+    hot = F.col(n) > max(1000, (right.agg(F.sum(n)).first()[0] or 0) // share)
+    known = right.where(hot).select(*keys, F.lit(True).alias("__hot"))
+    cold = right.where(~hot).select(*keys, F.lit(0).alias("__salt"), F.lit(True).alias("__cold"))
+    others = [c for c in left.columns if c not in keys]
+    salt = F.when(F.col("__hot"), (F.pmod(F.xxhash64(*others), F.lit(share)) + 1).cast("int")).otherwise(0)
+    marked = left.join(F.broadcast(known), keys, "left").withColumn("__salt", salt)
+    return marked.join(cold, [*keys, "__salt"], "left").where("__hot or __cold").select(*left.columns)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, state: Callable[[], object] | None = None) -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``state`` is made once a task and passed as second argument."""
 

@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop, durable
 from .components import connected_components
 
 COSINE, CELL_ROWS, MOST_CELLS, SAMPLE, BLOCK = 0.9, 400, 4096, 20_000, 2048
@@ -51,17 +51,17 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def visits(reps: DataFrame, centres: np.ndarray, cosine: float) -> DataFrame:
-    """(home, node, weight, probes, vec): a vector's home and all cells it lives in or visits; vectors of other length than the centres share cell -length."""
-    chord = np.sqrt(2 - 2 * cosine)
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    dim = centres.shape[1]
-    margin = chord / 2
-    given = reps.sparkSession.sparkContext.broadcast((centres, apart))
+def visits(reps: DataFrame, centres: dict[int, tuple[int, np.ndarray]], cosine: float) -> DataFrame:
+    """(home, node, weight, probes, vec): a vector's home and all cells it lives in or visits.
+
+    ``centres`` are, by length of vectors, the number of their first cell and the cells' centres; lengths that have none share cell -length.
+    """
+    margin = np.sqrt(2 - 2 * cosine) / 2
+    given = reps.sparkSession.sparkContext.broadcast({n: (base, c, np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))) for n, (base, c) in centres.items()})
     fields = "home int, node long, weight long, probes array<int>, vec binary"
 
     def run(batches):
-        c, apart = given.value
+        known = given.value
         for batch in batches:
             lists = batch.column(2)
             length = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -69,20 +69,19 @@ def visits(reps: DataFrame, centres: np.ndarray, cosine: float) -> DataFrame:
                 for at in np.array_split(idx := np.nonzero(length == n)[0], max(1, len(idx) // 1024)):
                     part = batch.take(pa.array(at))
                     x = unit(rows_of(part.column(2)))
-                    if n == dim:
+                    if int(n) in known:
+                        base, c, apart = known[int(n)]
                         s = x @ c.T
                         home = s.argmax(1)
                         go = s.max(1)[:, None] - s <= margin * apart[home] + 1e-9
                         go[np.arange(len(x)), home] = True
                     else:
-                        home, go = np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
+                        base, home, go = -int(n), np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
                     i, cell = np.nonzero(go)
                     cut = np.searchsorted(i, np.arange(len(x) + 1))
                     vec = pa.array([r.tobytes() for r in x], pa.binary())
-                    if n != dim:
-                        home, cell = home - int(n), cell - int(n)
-                    probes = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(cell.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), part.column(0), part.column(1), probes, vec], ["home", "node", "weight", "probes", "vec"])
+                    probes = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((cell + base).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array((home + base).astype(np.int32)), part.column(0), part.column(1), probes, vec], ["home", "node", "weight", "probes", "vec"])
 
     return reps.select("node", "weight", "embedding").mapInArrow(run, fields)
 
@@ -166,12 +165,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CE
     if n:
         few = reps.select("embedding").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()["embedding"].combine_chunks()
         lengths = pa.compute.list_value_length(few).to_numpy()
-        main = np.bincount(lengths).argmax()
-        x = unit(rows_of(few.take(pa.array(np.nonzero(lengths == main)[0]))))
-        centres = spherical_kmeans(x, max(1, min(n // cell_rows, most_cells, len(x) // 4)))
+        centres, base = {}, 0
+        for size in np.unique(lengths):
+            # every length gets its share of the cells
+            x = unit(rows_of(few.take(pa.array(np.nonzero(lengths == size)[0]))))
+            cells = max(1, int(min(n // cell_rows, most_cells, len(few) // 4) * len(x) / len(few)))
+            centres[int(size)] = (base, spherical_kmeans(x, cells))
+            base += cells
         placed = durable(visits(reps, centres, cosine), "visits")
         found = durable(compare_blocks(placed, cosine, block), "links")
         comp = connected_components(found.where("b is not null"))
+        drop(placed)
         counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
         reps = reps.select("k1", "k2", "node", "weight").join(comp, "node", "left").join(counts, "node", "left")
     else:

@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MASK, WordHashes, as_bytes, durable, mix, pieces
+from .common import MASK, WordHashes, as_bytes, drop, durable, free_names, mix, pieces, row_keys, whole_row
 from .components import connected_components
 from .substring_dedup import BASES, Words, rolling
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 48, 6
-BLOCK = 256
+#: Rows of a block, and coordinates that are compared before sets are.
+BLOCK, CHECKS = 1024, 256
 
 
 def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +70,13 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, mark, n, k1, k2, bands): set size, a 128-bit digest of the set, and the band keys as bytes."""
+    """(doc_id, r1, r2, n, k1, k2, bands): set size, a 128-bit digest of the set, and the band keys as bytes."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             for part in pieces(batch, "text"):
-                doc, g = shingle_sets(as_bytes(part.column(2)), k, hashes)
+                doc, g = shingle_sets(as_bytes(part.column(3)), k, hashes)
                 n_docs = part.num_rows
                 n = np.bincount(doc, minlength=n_docs)
                 digest = [np.zeros(n_docs, np.uint64) for _ in range(2)]
@@ -83,13 +84,13 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     np.add.at(d, doc, mix(g ^ salt))
                 keys = band_keys(sketches(doc, g, n_docs, bands * rows), bands, rows)
                 raw = [keys[i].tobytes() if n[i] else None for i in range(n_docs)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), *[pa.array(d.view(np.int64)) for d in digest], pa.array(raw, pa.binary())], ["doc_id", "mark", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n.astype(np.int64)), *[pa.array(d.view(np.int64)) for d in digest], pa.array(raw, pa.binary())], ["doc_id", "r1", "r2", "n", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark int, n long, k1 long, k2 long, bands binary")
+    return docs.select("doc_id", "r1", "r2", "text").mapInArrow(run, "doc_id long, r1 long, r2 long, n long, k1 long, k2 long, bands binary")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(node, set): the sorted shingle hashes of each text as bytes."""
+    """(node, size, set): the sorted shingle hashes of each text as bytes, and how many."""
 
     def run(batches):
         hashes = WordHashes()
@@ -97,9 +98,9 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
             for part in pieces(batch, "text"):
                 doc, g = shingle_sets(as_bytes(part.column(1)), k, hashes)
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cut)), pa.array([g[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "size", "set"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, set binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, size long, set binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -113,16 +114,19 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (m + n - common)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct (a, b) whose sets are alike."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, most_bytes: int = 4 << 20) -> DataFrame:
+    """Those of the distinct (a, b) whose sets are alike; pairs whose sizes rule that out meet no set."""
+    size = sets.select("node", "size").groupBy("node").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    near = pairs.join(size.toDF("a", "la", "ma"), "a").join(size.toDF("b", "lb", "mb"), "b").where((100 * F.col("ma") >= percent * F.col("lb")) & (100 * F.col("mb") >= percent * F.col("la"))).select("a", "b")
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "sa"):
-                sa, sb = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in (2, 3))
-                ok = pa.array([alike(x, y, percent) for x, y in zip(sa, sb)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
+            for half in pieces(batch, "sa", most_bytes):
+                for part in pieces(half, "sb", most_bytes):
+                    sa, sb = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in (2, 3))
+                    ok = pa.array([alike(x, y, percent) for x, y in zip(sa, sb)], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -134,11 +138,32 @@ def labelled(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return members.join(comp.select("node", "component"), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
-def stragglers(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def sketched(sets: DataFrame, t: int = CHECKS) -> DataFrame:
+    """(node, size, set, sketch): with a byte of each of ``t`` coordinates of the set's sketch."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "set"):
+                raw = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
+                doc = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+                low = (mix(sketches(doc, np.concatenate(raw), len(raw), t)) & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in low], pa.binary())], ["node", "size", "set", "sketch"])
+
+    return sets.select("node", "size", "set").mapInArrow(run, "node long, size long, set binary, sketch binary")
+
+
+def least_agreement(percent: int, t: int = CHECKS) -> int:
+    """How many of ``t`` coordinates two sets of that similarity agree in, but for a chance of about one in 10^9: six standard deviations below the mean."""
+    p = percent / 100
+    return max(0, int(t * p - 6 * (t * p * (1 - p)) ** 0.5))
+
+
+def stragglers(members: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK, block_bytes: int = 16 << 20) -> DataFrame:
     """Links (a, b) between members of a bucket in different components, a spanning forest of them for each block.
 
     ``members`` are (band, node, comp). The rest of a bucket, all that is not in its largest component, is compared with the whole
-    bucket; both are cut into blocks and a task compares one block with one other.
+    bucket; both are cut into blocks of bounded rows and bytes and a task compares one block with one other. There sketches are
+    compared first, many at once, and only pairs that agree often enough have their sets merged.
     """
     by_comp = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = by_comp.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
@@ -146,18 +171,23 @@ def stragglers(members: DataFrame, sets: DataFrame, percent: int, block: int = B
     rows = members.join(open_, "band")
     # buckets of other bands with the very same members are compared once
     same = rows.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(same.groupBy("sign", "n").agg(F.min("band").alias("band")).select("band"), "band", "left_semi")
-    n_left, n_right = F.ceil(F.col("rest") / block).cast("int"), F.ceil(F.col("size") / block).cast("int")
+    rows = durable(rows.join(same.groupBy("sign", "n").agg(F.min("band").alias("band")).select("band"), "band", "left_semi"), "stragglers")
+    known = durable(sketched(sets.join(rows.select("node").distinct(), "node", "left_semi")), "sketches")
+    weighed = rows.join(known.groupBy("node").agg(F.sum("size").alias("words")), "node")
+    total = weighed.groupBy("band").agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("words")).otherwise(0)).alias("rest_words"))
+    blocks = lambda n, words: F.greatest(F.ceil(F.col(n) / block_rows), F.ceil(8 * F.col(words) / block_bytes), F.lit(1)).cast("int")
+    n_left, n_right = blocks("rest", "rest_words"), blocks("size", "all_words")
     spot = F.xxhash64("node")
-    rows = durable(rows.select("band", "node", "comp", (F.col("comp") != F.col("main")).alias("left"), n_left.alias("nl"), n_right.alias("nr"), F.pmod(spot, n_left).cast("int").alias("lb"), F.pmod(spot, n_right).cast("int").alias("rb")), "stragglers")
-    left = rows.where("left").select("band", "node", "comp", F.lit(0).alias("side"), "lb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"))
-    right = rows.select("band", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), "rb")
-    both = left.unionByName(right).join(sets, "node")
+    rows = weighed.join(total, "band").select("band", "node", "comp", (F.col("comp") != F.col("main")).alias("left"), n_left.alias("nl"), n_right.alias("nr"), F.pmod(spot, n_left).cast("int").alias("lb"), F.pmod(spot, n_right).cast("int").alias("rb"))
+    left = rows.where("left").select("band", "node", "comp", F.lit(0).alias("side"), "left", "lb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"))
+    right = rows.select("band", "node", "comp", F.lit(1).alias("side"), "left", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), "rb")
+    both = left.unionByName(right).join(known, "node")
+    least = least_agreement(percent)
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        nodes, comps = table["node"].to_pylist(), table["comp"].to_pylist()
-        raw = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        side, rest = table["side"].to_numpy(), table["left"].to_numpy()
+        node, comp, size = (table[c].to_numpy() for c in ("node", "comp", "size"))
+        sets, sketch = table["set"].combine_chunks(), np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(side), -1)
         root: dict = {}
 
         def find(x):
@@ -167,20 +197,25 @@ def stragglers(members: DataFrame, sets: DataFrame, percent: int, block: int = B
 
         out = []
         right = np.nonzero(side == 1)[0]
-        size = np.array([len(r) for r in raw])
+        right = right[np.argsort(size[right], kind="stable")]
+        held, ordered = sketch[right], size[right]
         for i in np.nonzero(side == 0)[0]:
-            near = right[(100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
-            for j in near:
-                if nodes[i] != nodes[j] and (a := find(comps[i])) != (b := find(comps[j])) and alike(raw[i], raw[j], percent):
-                    root[a] = b
-                    out.append((nodes[i], nodes[j]))
+            # sizes are in order: only those near enough are looked at
+            a, b = np.searchsorted(ordered, [-(-percent * size[i] // 100), 100 * size[i] // percent + 1])
+            near = right[a:b]
+            # of two that both belong to the rest, the pair is met twice
+            ok = ((held[a:b] == sketch[i]).sum(1) >= least) & (comp[near] != comp[i]) & ((node[near] > node[i]) | ~rest[near])
+            for j in near[ok]:
+                if (x := find(comp[i])) != (y := find(comp[j])) and alike(np.frombuffer(sets[int(i)].as_buffer(), np.uint64), np.frombuffer(sets[int(j)].as_buffer(), np.uint64), percent):
+                    root[x] = y
+                    out.append((node[i], node[j]))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return both.select("band", "lb", "rb", "side", "node", "comp", "set").groupBy("band", "lb", "rb").applyInArrow(compare, "a long, b long")
+    return both.select("band", "lb", "rb", "side", "left", "node", "comp", "size", "set", "sketch").groupBy("band", "lb", "rb").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id, kept) for each row of ``docs``.
+    """(doc_id, r1, r2, n_shingles, component_id, kept) for each row of ``docs``; ``r1`` and ``r2`` are 128 bits of id and text.
 
     Texts are linked when their sets of distinct ``k``-word shingles, A-Z lower-cased, share ``percent`` of the union; a component is
     the least doc_id that links reach. Null texts and texts without words have empty sets and stand alone. Rows with a null doc_id
@@ -188,38 +223,47 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     table gives an empty one. Other columns are not read. A pair of similarity s is missed with the chance (1 - s^rows)^bands, at
     0.8 less than one in a million.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), "text")
     sign = durable(signatures(keyed, k, bands, rows), "signatures")
     full = sign.where("n > 0 and doc_id is not null")
-    classes = durable(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "mark", "bands")).alias("one")).select("k1", "k2", "n", "one.*"), "classes")
-    reps = classes.select(F.col("doc_id").alias("node"), "mark", "bands")
+    classes = durable(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "r1", "r2", "bands")).alias("one")).select("k1", "k2", "n", "one.*"), "classes")
+    reps = classes.select(F.col("doc_id").alias("node"), "r1", "r2", "bands")
     at = F.sequence(F.lit(0), F.lit(bands - 1))
     banded = reps.select("node", F.explode(F.transform(at, lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * 8 + 1, F.lit(8))))).alias("band")).distinct()
     lead = banded.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "lead")
     members = durable(banded.join(lead, "band"), "members")
     wanted = members.select("node").distinct()
-    marked = reps.select("node", "mark").join(wanted, "node", "left_semi").select(F.col("node").alias("doc_id"), "mark").distinct()
-    sets = durable(sets_of(keyed.join(marked, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), k), "sets")
+    marked = reps.join(wanted, "node", "left_semi").select("r1", "r2")
+    one = keyed.join(marked, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("doc_id").alias("node"), F.first("text").alias("text"))
+    sets = durable(sets_of(one, k), "sets")
     first = members.where("node != lead").groupBy("node").agg(F.min("lead").alias("lead"))
     links = durable(verified(first.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, percent), "links")
     comp = durable(connected_components(links), "components")
     now = labelled(members, comp).join(comp.select(F.col("node").alias("lead"), F.col("component").alias("lc")), "lead", "left")
     more = now.where(F.col("comp") != F.coalesce("lc", "lead")).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     more = more.join(first.select(F.col("node").alias("a"), F.col("lead").alias("b")), ["a", "b"], "left_anti")
+    old = [links, comp]
     links = durable(links.unionByName(verified(more, sets, percent)), "links")
     comp = durable(connected_components(links), "components")
+    old += [links, comp]
     links = links.unionByName(stragglers(labelled(members.select("band", "node"), comp), sets, percent))
     comp = durable(connected_components(links), "components")
     owner = classes.select("k1", "k2", "n", F.col("doc_id").alias("node")).join(comp, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
-    out = sign.select("doc_id", "mark", "n", "k1", "k2").join(owner, ["k1", "k2", "n"], "left")
+    drop(sets, members, *old)
+    out = sign.select("doc_id", "r1", "r2", "n", "k1", "k2").join(owner, ["k1", "k2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "r1", "r2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the least doc_id's; of rows under one doc_id and text one stays."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m")).distinct()
-    keyed = docs.withColumn("__k", F.hash("text"))
-    both = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__m"))).drop("__m")
-    one = F.row_number().over(Window.partitionBy("__d", "__k").orderBy("__k"))
-    return both.withColumn("__n", one).where((F.col("__n") == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each group of near-duplicates: the least doc_id's; of rows under one doc_id and text one stays, all that have a null doc_id stay.
+
+    Null and empty texts are in no group. Which of rows stays that are equal in doc_id and text but not in other columns is fixed by a
+    hash of the whole row, so reruns agree. An empty table gives an empty one. All columns stay, whatever their names.
+    """
+    n1, n2, nth = free_names(docs.columns, "r1", "r2", "nth")
+    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("r1").alias(n1), F.col("r2").alias(n2)).distinct()
+    r1, r2 = row_keys("doc_id", "text")
+    both = docs.select("*", r1.alias(n1), r2.alias(n2)).join(kept, [n1, n2], "left_semi")
+    one = F.row_number().over(Window.partitionBy(n1, n2).orderBy(*whole_row(docs)))
+    return both.withColumn(nth, one).where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,14 +22,17 @@ OPEN_BINS = 1024
 PACK_ROWS = 100_000
 
 
-#: The split pattern of byte-level vocabularies, fixed.
+#: Fixed value: the split pattern that byte-level tokenizers use where their file asks for the pattern of its own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_ranks(path: str) -> dict[bytes, int] | None:
-    """The vocabulary of a byte-level tokenizer as bytes to rank, if its merges are in the order of its ids; else None."""
+    """The vocabulary of a byte-level tokenizer as bytes to rank; None where its file asks for more than the plain pattern or its merges are not in the order of its ids."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        kept = json.load(f)
+    model, pre = kept["model"], kept.get("pre_tokenizer") or {}
+    if kept.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or model.get("dropout"):
+        return None
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     back = {c: b for b, c in shown.items()}
@@ -57,9 +60,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = re.compile(r" [\s\x1c-\x1f]").search
         self.seen: dict[str, bytes] = {}
+        # without ranks nothing is known of where texts can be cut: the tokenizer gets them whole
         self.most, self.fast = most, None
         if ranks := byte_ranks(path):
             import tiktoken
@@ -75,7 +81,7 @@ class Encoder:
         return array("I", self.fast(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.whole(text):
+        if self.fast is None or self.whole(text):
             return self._ids(text)
         seen = self.seen
         head, *rest = text.split(" ")
@@ -161,9 +167,13 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int =
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, most_open: int = OPEN_BINS, groups: int = 1) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; each of ``groups`` shares of the pieces is packed by itself, in a fixed order."""
+    """``pieces``, rows of :func:`token_pieces`, with ``sequence_id`` and ``offset``; each of ``groups`` shares is packed by itself, in a fixed order.
+
+    Null doc_ids and repeated rows are packed like others; of equal rows it makes no difference which goes where. An empty table gives
+    an empty one. A length above ``length`` is a fault of the caller.
+    """
     spread = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = pieces.withColumn("__h", spread).repartition(groups, "__h").sortWithinPartitions("__h", "doc_id", "piece", "start", "length")
+    dealt = pieces.withColumn("spread", spread).repartition(groups, "spread").sortWithinPartitions("spread", "doc_id", "piece", "start", "length")
 
     def run(batches):
         from pyspark import TaskContext

@@ -1,6 +1,6 @@
 """A quality classifier: random-indexing word vectors, pooled per document, and a small network with calibrated probabilities.
 
-Every piece of a word (a run of letters, or of anything else) falls in one of ``BUCKETS`` rows. A row's vector is the sum, over all
+Every piece of a word (a run of letters, or of anything else) falls in one of ``buckets`` rows. A row's vector is the sum, over all
 texts, of the sparse random index vectors of the pieces beside its pieces. A document is the mean and spread of its pieces' vectors
 and its length. The network, two layers in numpy, learns from a bounded sample of labelled rows; a temperature fitted on a part of
 it that training does not see calibrates its probabilities.
@@ -23,27 +23,28 @@ THRESHOLD = 0.7
 FEATURES = 2 * DIM + 1
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+def index_vectors(buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket the places and signs of its index vector's nonzero components."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+    return rng.integers(0, DIM, (buckets, NONZERO)), rng.choice([-1.0, 1.0], (buckets, NONZERO))
 
 
 class Pieces(dict):
     """A word's bytes to the buckets of its pieces, remembered; forgets all at ``most`` entries."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, buckets: int, most: int = 200_000):
         super().__init__()
         import re
 
         import xxhash
 
         self.cut, self.hash, self.most = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff]+").findall, xxhash.xxh3_64_intdigest, most
+        self.buckets = buckets
 
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= self.most:
             self.clear()
-        got = self[word] = [self.hash(p) % BUCKETS for p in self.cut(word)]
+        got = self[word] = [self.hash(p) % self.buckets for p in self.cut(word)]
         return got
 
     def of(self, text: bytes | None) -> np.ndarray:
@@ -52,13 +53,13 @@ class Pieces(dict):
         return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split() if text else [])), np.int64)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The vector of each bucket, unit length, from all texts: a bounded table of ``BUCKETS`` rows. Zero where nothing was seen."""
+def word_vectors(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The vector of each bucket, unit length, from all texts: a bounded table of ``buckets`` rows. Zero where nothing was seen."""
     names = [f"d{i}" for i in range(DIM)]
 
     def run(batches):
-        place, sign = index_vectors()
-        cut, total = Pieces(), np.zeros(BUCKETS * DIM)
+        place, sign = index_vectors(buckets)
+        cut, total = Pieces(buckets), np.zeros(buckets * DIM)
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = [cut.of(t) for t in as_bytes(part.column(0))]
@@ -67,15 +68,15 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 at = np.nonzero(doc[1:] == doc[:-1])[0]
                 for one, other in ((b[at], b[at + 1]), (b[at + 1], b[at])):
                     for j in range(NONZERO):
-                        total += np.bincount(one * DIM + place[other, j], sign[other, j], BUCKETS * DIM)
-        rows = total.reshape(BUCKETS, DIM)
+                        total += np.bincount(one * DIM + place[other, j], sign[other, j], buckets * DIM)
+        rows = total.reshape(buckets, DIM)
         some = np.nonzero(rows.any(1))[0]
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(rows[some, i].astype(np.int64)) for i in range(DIM)]], ["bucket", *names])
 
     partial = docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
     table = partial.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-    out = np.zeros((BUCKETS, DIM))
+    out = np.zeros((buckets, DIM))
     if table.num_rows:
         out[table["bucket"].to_numpy()] = np.stack([table[n].to_numpy() for n in names], 1)
     size = np.sqrt((out * out).sum(1, keepdims=True))
@@ -87,7 +88,8 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
-        cut, v = Pieces(), given.value
+        v = given.value
+        cut = Pieces(len(v))
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = np.zeros((part.num_rows, FEATURES), np.float32)
@@ -161,17 +163,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_TRAINING, threshold: float = THRESHOLD) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_TRAINING, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     Labels are learnt from rows that are not held out, ``most`` at most, and join documents by doc_id; null labels and ids teach
     nothing, and ids with several labels or texts teach with each. Without any label scores are 0.5. Null and empty texts are scored
     like others, by zero vectors. Null doc_ids are scored and not held out. Repeated rows get equal scores. An empty table gives an
-    empty one. Only doc_id and text are read.
+    empty one. Only doc_id and text are read, whatever else the tables hold. ``buckets`` bounds the table of word vectors; more keep
+    rare pieces of a large vocabulary apart.
     """
-    x = durable(pooled(docs, word_vectors(docs)), "features")
+    x = durable(pooled(docs, word_vectors(docs, buckets)), "features")
     taught = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
-    taught = taught.where(~held_out(F.col("id"))).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(most)
+    # labels of documents that are here, so that others take no place in the sample
+    taught = taught.where(~held_out(F.col("id"))).distinct().join(x.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    taught = taught.orderBy(F.xxhash64("id"), "id", "y").limit(most)
     rows = x.join(F.broadcast(taught), F.col("doc_id") == F.col("id")).select("id", "x", "y").orderBy(F.xxhash64("id"), "id", "y", "x").limit(most).toArrow()
     y = (rows["y"].to_numpy() > 0).astype(np.float64)
     network = Network(FEATURES).fit(_matrix(rows["x"].to_pylist()) if rows.num_rows else np.zeros((0, FEATURES)), y)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, free_names
 
 SPACES = " \t\n\x0b\x0c\r"
 #: So many repeated windows are looked up one by one.
@@ -65,7 +65,7 @@ def twice(ordered: Column) -> Column:
     return F.when(F.size(ordered) < 2, none).otherwise(F.array_distinct(F.transform(F.filter(at, lambda i: F.get(ordered, i) == F.get(ordered, i - 1)), lambda i: F.get(ordered, i))))
 
 
-def covered(hashes: Column, repeated: Column) -> Column:
+def covered(hashes: Column, repeated: Column, few_at_most: int = FEW) -> Column:
     """Words that lie in a window whose hash is in ``repeated``: the sum over such windows, in order, of what each adds behind the one before.
 
     With few repeated hashes each window looks its hash up among them; with many, windows sorted by hash are compared with their neighbours.
@@ -79,7 +79,7 @@ def covered(hashes: Column, repeated: Column) -> Column:
         return F.sort_array(F.transform(found, lambda i: F.get(s, i)["i"]))
 
     many = let(F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), neighbours)
-    starts = F.when(F.size(repeated) <= FEW, few).otherwise(many)
+    starts = F.when(F.size(repeated) <= few_at_most, few).otherwise(many)
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     total = F.aggregate(starts, start, lambda a, s: F.struct((s + 3).alias("end"), (a["n"] + F.least(F.lit(3), s + 3 - a["end"])).alias("n")), lambda a: a["n"].cast("long"))
     return F.when(F.size(repeated) == 0, F.lit(0).cast("long")).otherwise(total)
@@ -96,33 +96,35 @@ def compile_rules(thresholds, of: dict[str, Column]) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS, into: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``into``: the counts, ``base_failed`` and ``kept``.
 
-    Null and empty texts have no words and fail the base test. All columns of ``docs`` stay, ``into`` apart, which is replaced.
+    Null and empty texts have no words and fail the base test. All columns of ``docs`` stay, whatever their names, ``into`` apart, which is replaced.
     Rows are independent: repeated rows get equal results, and an empty table gives an empty one. Texts of any length are read whole.
     """
     c = F.col
     t = F.coalesce(c(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     # what is used often is projected once, in columns that go again
-    d = docs.select(*[c(f"`{x}`") for x in docs.columns if x != into], words_of(c(text)).alias("__w"), lines.alias("__l"))
-    d = d.withColumn("__t", F.array_join("__w", "")).withColumn("__h", window_hashes(c("__w")))
+    own = [x for x in docs.columns if x.lower() != into.lower()]
+    w, l_, joined, h, s, r, m_ = free_names([*own, into], "words", "lines", "joined", "hashes", "sorted", "repeated", "counts")
+    d = docs.select(*[c(f"`{x}`") for x in own], words_of(c(text)).alias(w), lines.alias(l_))
+    d = d.withColumn(joined, F.array_join(w, "")).withColumn(h, window_hashes(c(w)))
     # sorted only where some window repeats
     none = F.array().cast("array<bigint>")
-    d = d.withColumn("__s", F.when(F.size(F.array_distinct("__h")) == F.size("__h"), none).otherwise(F.sort_array("__h")))
-    d = d.withColumn("__r", twice(c("__s"))).drop("__s")
+    d = d.withColumn(s, F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(F.sort_array(h)))
+    d = d.withColumn(r, twice(c(s))).drop(s)
     both = [*STOP_WORDS, *[w.capitalize() for w in STOP_WORDS]]
     long = lambda x: x.cast("long")
     counts = {
-        "n_words": long(F.size("__w")),
-        "word_chars": long(F.length("__t")),
-        "n_symbols": long(F.octet_length("__t") - F.octet_length(F.regexp_replace("__t", f"[{SYMBOLS}]+", ""))),
-        "n_dup_lines": long(F.size("__l") - F.size(F.array_distinct("__l"))),
-        "n_repeat_words": covered(c("__h"), c("__r")),
-        "n_lines": long(F.size("__l")),
-        "n_exclaims": long(F.octet_length("__t") - F.octet_length(without(c("__t"), "!"))),
-        "n_stop_words": long(F.size(F.filter("__w", lambda w: w.isin(both)))),
+        "n_words": long(F.size(w)),
+        "word_chars": long(F.length(joined)),
+        "n_symbols": long(F.octet_length(joined) - F.octet_length(F.regexp_replace(joined, f"[{SYMBOLS}]+", ""))),
+        "n_dup_lines": long(F.size(l_) - F.size(F.array_distinct(l_))),
+        "n_repeat_words": covered(c(h), c(r)),
+        "n_lines": long(F.size(l_)),
+        "n_exclaims": long(F.octet_length(joined) - F.octet_length(without(c(joined), "!"))),
+        "n_stop_words": long(F.size(F.filter(w, lambda x: x.isin(both)))),
     }
-    d = d.withColumn("__m", F.struct(*[x.alias(k) for k, x in counts.items()])).drop("__w", "__l", "__t", "__h", "__r")
-    m = c("__m")
+    d = d.withColumn(m_, F.struct(*[x.alias(k) for k, x in counts.items()])).drop(w, l_, joined, h, r)
+    m = c(m_)
     ratio = lambda a, b: m[a] / F.greatest(m[b], F.lit(1))
     of = {
         "mean_word_chars": ratio("word_chars", "n_words"),
@@ -134,4 +136,4 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS, in
     failed = (m["n_words"] < BASE_WORDS) | (100 * m["n_repeat_words"] > BASE_REPEAT_PERCENT * m["n_words"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     judged = F.struct(*[m[n].alias(n) for n in names], failed.alias("base_failed"), (~failed & compile_rules(thresholds, of)).alias("kept"))
-    return d.withColumn(into, judged).drop("__m")
+    return d.withColumn(into, judged).drop(m_)

@@ -51,7 +51,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     done = dedup_lines(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2("lines.kept", 256).alias("kept_sha256"))
 
 
 def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,40 +7,64 @@ are joined inside the second pass over the texts; frequencies of all others are
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow
+from .common import durable, map_arrow, row_keys
 
 HOT = 131_072
-#: Where a text can be cut: pieces of the split pattern of the word-level vocabulary.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def split_rules(path: str) -> tuple[str, list[str]] | None:
+    """The pattern that the tokenizer in ``path`` finds pieces by between white space, and its special strings; None where its texts cannot be cut like that.
+
+    They can where the normaliser does nothing but compose, make white space spaces and lower-case, the split keeps what the pattern
+    finds and drops the rest, and what follows is byte-level without a pattern of its own.
+    """
+    with open(path, encoding="utf-8") as f:
+        kept = json.load(f)
+    normal, pre = kept.get("normalizer") or {}, kept.get("pre_tokenizer") or {}
+    steps = normal.get("normalizers", [normal])
+    plain = [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
+    parts = pre.get("pretokenizers", [pre])
+    if not plain or [p.get("type") for p in parts] != ["Split", "ByteLevel"] or (kept["model"].get("dropout") or 0) > 0:
+        return None
+    split, level = parts
+    pattern = split.get("pattern", {}).get("Regex")
+    if pattern is None or not (split.get("behavior") == "Removed" and split.get("invert")) or level.get("use_regex", True) or level.get("add_prefix_space", True):
+        return None
+    return pattern, [t["content"] for t in kept.get("added_tokens", [])]
 
 
 class PreTokens:
-    """Cuts texts into pre-tokens, exactly or not at all.
+    """Cuts texts into pre-tokens, exactly or not at all; without ``rules`` a text is one pre-token.
 
     Units between white space are cut by the pattern only if they are lower-cased Latin-1 text without special strings, where
     normal forms and letter classes are plain; any other unit is a pre-token itself, and a text with control characters that
     Python, but not the tokenizer, takes for white space is one as a whole.
     """
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, rules: tuple[str, list[str]] | None, most: int = 300_000):
         import re
 
         import regex
 
-        self.cut, self.odd = regex.compile(PIECES).findall, re.compile("[\x1c-\x1f]").search
+        pattern, special = rules or ("", [])
+        self.whole = rules is None or any(re.search(r"\s", s) for s in special)
+        self.cut, self.odd = regex.compile(pattern).findall, re.compile("[\x1c-\x1f]").search
+        # a unit may hold a special string, or a part of one that lower-casing or composing would complete
+        self.special = re.compile("|".join(re.escape(s[:2]) for s in special)).search if special else (lambda _: None)
         self.seen: dict[str, tuple[str, ...]] = {}
         self.most = most
 
     def of_unit(self, unit: str) -> tuple[str, ...]:
         got = self.seen.get(unit)
         if got is None:
-            if "<|" in unit or (not unit.isascii() and max(unit) > "ÿ"):
+            if self.special(unit) or (not unit.isascii() and max(unit) > "ÿ"):
                 got = (unit,)
             else:
                 got = tuple(self.cut(unit.lower()))
@@ -50,7 +74,7 @@ class PreTokens:
         return got
 
     def of(self, text: str) -> Counter:
-        if self.odd(text):
+        if self.whole or self.odd(text):
             return Counter((text,))
         out: Counter = Counter()
         for unit, n in Counter(text.split()).items():
@@ -65,14 +89,17 @@ def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
-def distinct_pre_tokens(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+def distinct_pre_tokens(docs: DataFrame, rules, flush: int = 200_000) -> DataFrame:
     """(unit, n): in how many documents each pre-token occurs."""
 
     def run(batches):
-        cut, seen = PreTokens(), Counter()
+        cut, seen = PreTokens(rules), Counter()
         for batch in batches:
             for text in batch.column(0):
                 if (t := text.as_py()) is not None:
@@ -102,45 +129,47 @@ def token_counts(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row of ``docs``, without begin, end or added special tokens.
 
     Null and empty texts have 0 of both. Null doc_ids and repeated rows are counted like others. Texts of any length are read
-    whole. An empty table gives an empty one. Other columns are not read.
+    whole; rows are told apart by 128 bits of id and text. An empty table gives an empty one. Other columns, whatever their names, are
+    not read. A tokenizer whose texts :func:`split_rules` cannot cut counts each distinct text as one piece, so any file gives its own
+    numbers.
     """
-    table = durable(piece_table(distinct_pre_tokens(docs), path), "pieces")
+    rules = split_rules(path)
+    table = durable(piece_table(distinct_pre_tokens(docs, rules), path), "pieces")
     # bounded: `hot` rows at most; the order has no ties
     top = table.orderBy(F.col("n").desc(), "unit").limit(hot)
     frame = top.select("unit", "pieces").toArrow()
     known = docs.sparkSession.sparkContext.broadcast((frame["unit"].to_pylist(), frame["pieces"].to_pylist()))
 
     def run(batches):
-        cut, pieces = PreTokens(), dict(zip(*known.value))
+        cut, pieces = PreTokens(rules), dict(zip(*known.value))
         for batch in batches:
-            ids, marks, units, counts, sizes = [], [], [], [], []
-            for key, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            who, units, counts, sizes = [], [], [], []
+            for i, text in enumerate(batch.column(3)):
                 sure, t = 0, text.as_py()
                 for unit, n in (cut.of(t) if t is not None else {}).items():
                     p = pieces.get(unit)
                     if p is not None:
                         sure += p * n
                         continue
-                    ids.append(key)
-                    marks.append(mark)
+                    who.append(i)
                     units.append(unit)
                     counts.append(n)
                     sizes.append(0)
-                ids.append(key)
-                marks.append(mark)
+                who.append(i)
                 units.append(None)
                 counts.append(sure)
                 sizes.append(len((t or "").encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(units, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "mark", "unit", "n", "n_bytes"])
+            at = pa.array(who, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(at) for j in range(3)], pa.array(units, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "r1", "r2", "unit", "n", "n_bytes"])
 
-    # a row without a unit is a document with what is known of it, the others await their pieces; `mark` tells apart texts under one id
-    keyed = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("mark"), "text")
-    rows = durable(keyed.mapInArrow(run, "doc_id long, mark int, unit string, n long, n_bytes long"), "frequencies")
-    key = ["doc_id", "mark"]
+    # a row without a unit is a document with what is known of it, the others await their pieces
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), "text")
+    rows = durable(keyed.mapInArrow(run, "doc_id long, r1 long, r2 long, unit string, n long, n_bytes long"), "frequencies")
+    key = ["doc_id", "r1", "r2"]
     sure = rows.where("unit is null").select(*key, "n", "n_bytes", F.lit(1).alias("rows"))
     rare = rows.where("unit is not null").join(table.select("unit", "pieces"), "unit")
     rare = rare.select(*key, (F.col("n") * F.col("pieces")).alias("n"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).alias("rows"))
     total = sure.unionByName(rare).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.sum("rows").alias("rows"))
     # a row of the table that repeats has been added up; each of its copies gets its share
-    total = total.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    total = total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return total.select("doc_id", F.expr("n_bytes div rows").alias("n_bytes"), F.expr("n div rows").alias("n_tokens"))

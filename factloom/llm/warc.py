@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Cleaning
 from .common import durable, fresh_dir
 
 LEAST_REVISIT = 1000
-RECORDS_PER_FILE = 10_000
+#: Bytes, before compression, at which a file is closed; a larger capture has a file of its own.
+FILE_BYTES = 64 << 20
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,11 +38,39 @@ def _record(kind: Column, record_id: Column, uri: Column, content_type: str, blo
     return F.concat(lines, F.lit(END), block)
 
 
-def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT) -> None:
-    """Archive (page_id, url, html): gzip files of WARC records in ``path``.
+def members(captures: DataFrame, file_bytes: int) -> DataFrame:
+    """(file, value): each record of the arrays ``records`` as a gzip member but for its last byte, and the number of its file within the task.
 
-    Of pages with equal payloads of ``least_revisit`` bytes or more the one with the largest page_id is the response and the others
-    revisit it. Null html is an empty payload, a null url gives records without a target; line breaks in urls become spaces.
+    Files are written as lines that a zero byte ends, and that byte belongs to the member: the last of a member is the top byte of its
+    length, zero below 16 MB. A longer one is followed by an empty member.
+    """
+    empty = gzip.compress(b"", mtime=0)
+
+    def run(batches):
+        number, held = 0, 0
+        for batch in batches:
+            for capture in batch.column(0):
+                files, values = [], []
+                for record in capture.values.cast(pa.binary()):
+                    raw = record.as_buffer()
+                    if held and held + raw.size > file_bytes:
+                        number, held = number + 1, 0
+                    held += raw.size
+                    packed = gzip.compress(raw, 6, mtime=0)
+                    packed = packed if packed[-1] == 0 else packed + empty
+                    files.append(number)
+                    values.append(packed[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(values, pa.binary())], ["file", "value"])
+
+    return captures.select("records").mapInArrow(run, "file int, value binary")
+
+
+def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> None:
+    """Archive (page_id, url, html): files of WARC records in ``path``, a gzip member each, of about ``file_bytes`` before compression.
+
+    Of pages with equal payloads of ``least_revisit`` bytes or more the one with the largest page_id is the response, all rows of that
+    page_id if there are several, and the others revisit it. Null html is an empty payload, a null url gives records without a target;
+    line breaks in urls become spaces.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), html.alias("html"))
@@ -61,13 +91,18 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
     request = _record(F.lit("request"), _uuid(F.lit("request"), F.col("page_id"), url, F.col("digest")), url, "application/http; msgtype=request", asked, WARC_Concurrent_To=me)
     fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit("via: factloom"))
     metadata = _record(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("page_id"), url, F.col("digest")), none, "application/warc-fields", fields, WARC_Concurrent_To=me)
-    text = F.concat(request, F.lit(END), response, F.lit(END), metadata)
-    d.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parse_archive(raw: bytes):
-    """The records of an archive, plain or gzip of one or many members: (headers with lower-case names, block) each, in order."""
-    f = gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    records = F.array(*[F.concat(x, F.lit(END)) for x in (request, response, metadata)])
+    # bytes as they are: the text writer copies what a string holds
+    stored = members(d.select(records.alias("records")), file_bytes).select("file", F.col("value").cast("string").alias("value"))
+    with Cleaning(pages.sparkSession):
+        stored.write.partitionBy("file").option("lineSep", "\0").text(path)
+
+
+def parse_archive(raw):
+    """The records of an archive, plain or gzip of one or many members: (headers with lower-case names, block) each, in order, without holding more than one."""
+    f = io.BufferedReader(pa.BufferReader(raw))
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        f = gzip.GzipFile(fileobj=f)
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -90,7 +125,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         for batch in batches:
             for raw in batch.column(0):
                 rows, size = [], 0
-                for h, block in parse_archive(raw.as_buffer().to_pybytes()):
+                for h, block in parse_archive(raw.as_buffer()):
                     kind, http, payload, fields = h.get("warc-type"), None, None, None
                     if "application/http" in h.get("content-type", ""):
                         head, _, payload = block.partition(b"\r\n\r\n")

@@ -60,18 +60,51 @@ def test_substrings(docs, corpus, empty):
 
 
 def test_index_finds_repeats_across_batches_and_compacts(spark):
-    index = substring_dedup.FingerprintIndex(fanout=2)
+    index = substring_dedup.FingerprintIndex.create(spark, fanout=2)
     batch = lambda xs: spark.createDataFrame([(x, 1) for x in xs], "fp long, n int")
     assert index.add(batch([1, 2, 3])).collect() == []
-    assert [r[0] for r in index.add(batch([3, 4, 4])).orderBy("fp").collect()] == [3, 4]
-    assert len(index.runs) == 1
-    assert [r[0] for r in index.add(batch([1, 9])).collect()] == [1]
+    assert sorted(map(tuple, index.add(batch([3, 4, 4])).collect())) == [(3, 2), (4, 2)]
+    index.compact()
+    assert [k for k, _ in index.runs] == [1]
+    assert [tuple(r) for r in index.add(batch([1, 9])).collect()] == [(1, 2)]
+    assert sorted(map(tuple, index.hits().collect())) == [(1, 2), (3, 2), (4, 2)]
+    index.delete()
+
+
+def test_index_of_three_batches_in_two_sessions_equals_one_run(spark, docs, corpus):
+    want = Counter(tuple(r)[:4] for r in substring_dedup.remove_repeats(docs).collect())
+    first = substring_dedup.FingerprintIndex.create(spark)
+    part = lambda k: docs.where(f"coalesce(doc_id, 0) % 3 = {k}")
+    substring_dedup.add_texts(first, part(0))
+    substring_dedup.add_texts(first, part(1))
+    first.compact()
+    first.close()
+    # what the first left is found by its folder alone
+    other = spark.newSession()
+    second = substring_dedup.FingerprintIndex.open(other, first.path)
+    assert second.runs == first.runs and not other.catalog.tableExists(second.runs[0][1])
+    later = other.createDataFrame([r for r in corpus if (r[0] or 0) % 3 == 2], DOCS)
+    substring_dedup.add_texts(second, later)
+    got = substring_dedup.remove_repeats(other.createDataFrame(corpus, DOCS), index=second).collect()
+    assert Counter(tuple(r)[:4] for r in got) == want
+    second.delete()
+
+
+def test_old_runs_are_not_moved(spark):
+    index = substring_dedup.FingerprintIndex.create(spark, buckets=4)
+    for xs in ([1, 2, 3], [3, 4]):
+        index.add(spark.createDataFrame([(x, 1) for x in xs], "fp long, n int"))
+    (_, a), (_, b) = index.runs
+    with index._sorted():
+        plan = index._run(a).join(index._run(b).select("fp"), "fp", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    index.delete()
 
 
 def test_mixing(docs, corpus, empty):
     got = mixing.mix_documents(docs).collect()
     again = mixing.mix_documents(docs.repartition(5)).collect()
-    key = lambda r: (str(r.doc_id), r.key, r.size, r.taken)
+    key = lambda r: (str(r.doc_id), r.r1, r.size, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in corpus)
     size, taken, target = Counter(), Counter(), {}
@@ -193,7 +226,7 @@ def test_components(spark):
 
 def test_lines(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na \nb\n\nc\ny"), (3, None), (4, ""), (5, "q\nq\nq\nq\nq"), (None, "a\nb\nc"), (6, "a\nb")]
-    got = {r.doc_id: (r["__n_lines"], r["__n_removed"], r["__kept"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: tuple(r.lines) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (4, 0, "a\nb\nc\nd"), 2: (5, 3, "x\n\ny"), 3: (0, 0, None), 4: (0, 0, ""), 5: (5, 4, "q"), None: (3, 3, ""), 6: (2, 0, "a\nb")}
 
 
