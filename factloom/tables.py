@@ -37,7 +37,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock, _writers = threading.Lock(), {}
 
 
-class _Cleaning:
+class Cleaning:
     """The setting is on while any thread of the session writes; the last to end puts back what was there before the first."""
 
     def __init__(self, spark: SparkSession):
@@ -64,17 +64,31 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: later plans start there, and lost executors cost nothing of it."""
     spark, schema = df.sparkSession, df.schema
     path = fresh_dir(spark, name)
-    with _Cleaning(spark):
+    with Cleaning(spark):
         df.write.parquet(path)
     back = spark.read.schema(schema).parquet(path)
     back._factloom_path = path
     return back
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written beside its place and renamed."""
+    fs, p = _file_system(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(part, p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`durable` that no later plan reads."""
     for df in tables:
-        path = getattr(df, "_factloom_path", None)
-        if path:
-            fs, p = _file_system(df.sparkSession, path)
-            fs.delete(p, True)
+        if path := getattr(df, "_factloom_path", None):
+            remove(df.sparkSession, path)
