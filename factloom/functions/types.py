@@ -6,23 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Operators by the kind of their result, and each relation's opposite.
-ARITHMETIC = ["-", "*", "/", "%", "**", "&", "|", "^", "<<", ">>", ">>>"]
-COMPARISON = ["<", "<=", ">", ">=", "==", "===", "!=", "!==", "in", "instanceof"]
+ARITHMETIC = ["-", "*", "/", "%", "&", "|", "^", "<<", ">>", ">>>"]
+RELATIONAL = ["<", "<=", ">", ">=", "==", "!=", "===", "!==", "&&", "||"]
 OPPOSITE = {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "==": "!=", "===": "!==", "!=": "==", "!==": "==="}
 # Type names of the analysed language, and components without children.
 PRIMITIVES = ["boolean", "number", "string", "any", "void", "never", "null", "undefined", "unknown"]
 DECORATED_STATE = ["State", "Prop", "Link", "StorageProp", "StorageLink", "Provide", "Consume", "ObjectLink", "LocalStorageLink", "LocalStorageProp", "Local"]
 
 
+def binary_result(op: str, left: str, right: str) -> str:
+    """The type of ``left op right``, for plain strings."""
+    if op in RELATIONAL:
+        return "boolean"
+    if op == "+" and "string" in (left, right):
+        return "string"
+    return "number" if (op == "+" or op in ARITHMETIC) and left == right == "number" else "unknown"
+
+
 def binop_type(op: Column, left: Column, right: Column) -> Column:
-    """The type of ``left op right``."""
-    both = lambda t: (left == t) & (right == t)
+    """The type of ``left op right``: relations and logic give boolean, ``+`` a string beside one, arithmetic of numbers a number, anything else is unknown."""
     return (
-        F.when(op.isin(COMPARISON), "boolean")
+        F.when(op.isin(RELATIONAL), "boolean")
         .when((op == "+") & ((left == "string") | (right == "string")), "string")
-        .when((op == "+") & both("number"), "number")
-        .when(op.isin(ARITHMETIC) & both("number"), "number")
-        .when(op.isin("&&", "||", "??") & (left == right), left)
+        .when(op.isin("+", *ARITHMETIC) & (left == "number") & (right == "number"), "number")
         .otherwise("unknown")
     )
 

@@ -25,9 +25,12 @@ def descendants(classes: DataFrame, extends: DataFrame) -> DataFrame:
 def cha_edges(classes: DataFrame, extends: DataFrame, methods: DataFrame, sites: DataFrame) -> DataFrame:
     """(caller, target): a site calls the method of its name in each concrete class at or below the receiver's."""
     concrete = descendants(classes, extends).join(classes.where("not is_abstract").select(F.col("class_id").alias("des")), "des")
-    # receivers and names are few against sites: targets first, sites join them once
-    targets = concrete.join(methods.select(F.col("class_id").alias("des"), F.col("name").alias("callee")), "des")
-    targets = targets.select(F.col("anc").alias("recv"), "callee", F.col("des").alias("class_id"))
+    # receivers and names are few against sites: what they ask for first, its targets next, and sites join those once
+    asked = sites.select("recv", "callee").distinct()
+    classes_asked = concrete.join(asked.select(F.col("recv").alias("anc")).distinct(), "anc", "left_semi")
+    answering = methods.join(asked.select(F.col("callee").alias("name")).distinct(), "name", "left_semi")
+    targets = classes_asked.join(answering.select(F.col("class_id").alias("des"), F.col("name").alias("callee")), "des")
+    targets = targets.select(F.col("anc").alias("recv"), "callee", F.col("des").alias("class_id")).join(asked, ["recv", "callee"], "left_semi")
     return sites.join(targets, ["recv", "callee"]).select("caller", method_id(F.col("class_id"), F.col("callee")).alias("target"), "class_id").distinct()
 
 
@@ -60,5 +63,15 @@ def rta_edges(entries: DataFrame, edges: DataFrame, allocs: DataFrame) -> DataFr
     return edges.join(reached.withColumnRenamed("method", "caller"), "caller", "left_semi").join(made, "class_id", "left_semi").select("caller", "target").distinct()
 
 
+def overriding(methods: DataFrame, below: DataFrame) -> DataFrame:
+    """(class_id, sub_sig, target): for each declared method every method of its sub-signature in the class itself or one below it.
+
+    ``methods`` are (class_id, sub_sig, is_abstract), ``below`` (anc, des) as of :func:`descendants`; abstract ones are declared but are no targets.
+    """
+    declared = methods.select(F.col("class_id").alias("anc"), "sub_sig").distinct()
+    bodies = methods.where("not is_abstract").select(F.col("class_id").alias("des"), "sub_sig").distinct()
+    return declared.join(below, "anc").join(bodies, ["des", "sub_sig"]).select(F.col("anc").alias("class_id"), "sub_sig", F.col("des").alias("target"))
+
+
 def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("caller").agg(F.count_distinct("target").alias("n_targets"))

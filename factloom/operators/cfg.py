@@ -1,7 +1,7 @@
 """Control-flow operators.
 
-Whole-graph relations are fixpoints over (method, src, dst). Dominators and what follows from them need a method at a time: its edges
-are gathered into one row, bounded by the method's size, and mapped in Arrow batches with bit sets.
+What stays inside a method is found a method at a time: its edges are gathered into one row, bounded by the method's size, and mapped in
+Arrow batches, dominators and what follows from them with bit sets.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .fixpoint import fixpoint, reachable
+from ..tables import durable
 
 
 def by_method(edges: DataFrame, blocks: DataFrame, fn, names: list[str]) -> DataFrame:
@@ -146,9 +147,21 @@ def block_kinds(edges: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def cfg_reachable(edges: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(method, block) that the first block of the method reaches."""
-    entry = blocks.groupBy("method").agg(F.min("block").alias("node"))
-    return reachable(entry, edges.select("method", "src", "dst"), ["method"]).select("method", F.col("node").alias("block"))
+    """(method, block) that the first block of the method reaches: a walk over each method's edges, which lie in one row."""
+
+    def fn(nodes, e):
+        after: dict = {}
+        for a, b in e:
+            after.setdefault(a, []).append(b)
+        seen, todo = {nodes[0]}, [nodes[0]]
+        while todo:
+            for y in after.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return [(x,) for x in seen]
+
+    return by_method(edges, blocks, fn, ["block"])
 
 
 def next_statements(stmts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,20 +182,74 @@ def local_def_use(stmts: DataFrame) -> DataFrame:
 
 
 def global_def_use(stmts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(method, use, def, name): definitions that reach each use, within its block or along blocks that do not define the name."""
+    """(method, use, def, name): definitions that reach each use, within its block or along blocks that do not define the name.
+
+    Inside a block a window finds the nearest definition; between blocks a method's last definitions by block flow over its edges, which
+    lie in one row with them, to the blocks that use the name before they define it.
+    """
     local = local_def_use(stmts)
     gen = stmts.where("is_def").groupBy("method", "block", "name").agg(F.max_by("stmt", "idx").alias("def"))
-    kills = gen.select("method", "block", "name")
-    e = edges.select("method", "src", "dst")
-    flow = lambda d: d.join(e.withColumnRenamed("src", "block"), ["method", "block"]).select("method", F.col("dst").alias("block"), "name", "def")
-    entering = fixpoint(flow(gen), lambda new, _: flow(new.join(kills, ["method", "block", "name"], "left_anti")))
-    open_ = local.where("def is null").drop("def")
+    open_ = durable(local.where("def is null").drop("def"), "open-uses")
+    wanted = open_.select("method", "name").distinct()
+    gens = gen.join(wanted, ["method", "name"], "left_semi").groupBy("method").agg(F.collect_list(F.struct("block", F.col("name").cast("string").alias("name"), F.col("def").cast("long").alias("def"))).alias("gens"))
+    flow = edges.groupBy("method").agg(F.collect_set(F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).alias("edges"))
+    both = gens.join(flow, "method").select("method", "gens", "edges")
+    kind = both.schema["method"].dataType
+    schema = StructType().add("method", kind).add("block", "long").add("name", "string").add("def", "long")
+
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(4)]
+            for m, g, e in zip(*(c.to_pylist() for c in batch.columns)):
+                after: dict = {}
+                for x in e:
+                    after.setdefault(x["src"], []).append(x["dst"])
+                kills = {(x["block"], x["name"]) for x in g}
+                todo = [(b, x["name"], x["def"]) for x in g for b in after.get(x["block"], ())]
+                seen = set(todo)
+                while todo:
+                    b, name, d = todo.pop()
+                    if (b, name) not in kills:
+                        for y in after.get(b, ()):
+                            if (y, name, d) not in seen:
+                                seen.add((y, name, d))
+                                todo.append((y, name, d))
+                for b, name, d in seen:
+                    for col, v in zip(out, (m, b, name, d)):
+                        col.append(v)
+            types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["method", "block", "name", "def"])
+
+    entering = both.mapInArrow(run, schema).withColumn("name", F.col("name").cast(stmts.schema["name"].dataType))
     far = open_.join(entering, ["method", "block", "name"]).select("method", "use", "def", "name")
     return local.where("def is not null").select("method", "use", "def", "name").unionByName(far)
 
 
 def phi_sites(defs: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(method, name, block): where a name with (method, name, block) definitions needs a phi: the iterated dominance frontier."""
-    df = frontier.select("method", F.col("node").alias("block"), F.col("frontier").alias("at"))
-    step = lambda d: d.join(df, ["method", "block"]).select("method", "name", F.col("at").alias("block"))
-    return fixpoint(step(defs), lambda new, _: step(new)).distinct()
+    """(method, name, block): where a name with (method, name, block) definitions needs a phi: the iterated dominance frontier, a method at a time."""
+    by = frontier.groupBy("method").agg(F.collect_set(F.struct(F.col("node").cast("long").alias("node"), F.col("frontier").cast("long").alias("at"))).alias("frontier"))
+    names = defs.groupBy("method", "name").agg(F.collect_set(F.col("block").cast("long")).alias("blocks")).groupBy("method").agg(F.collect_list(F.struct(F.col("name").cast("string").alias("name"), "blocks")).alias("names"))
+    both = names.join(by, "method").select("method", "names", "frontier")
+    schema = StructType().add("method", both.schema["method"].dataType).add("name", "string").add("block", "long")
+
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(3)]
+            for m, n, f in zip(*(c.to_pylist() for c in batch.columns)):
+                after: dict = {}
+                for x in f:
+                    after.setdefault(x["node"], []).append(x["at"])
+                for x in n:
+                    todo, seen = list(x["blocks"]), set()
+                    while todo:
+                        for y in after.get(todo.pop(), ()):
+                            if y not in seen:
+                                seen.add(y)
+                                todo.append(y)
+                    for y in seen:
+                        for col, v in zip(out, (m, x["name"], y)):
+                            col.append(v)
+            types = [batch.schema.field(0).type, pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["method", "name", "block"])
+
+    return both.mapInArrow(run, schema).withColumn("name", F.col("name").cast(defs.schema["name"].dataType))

@@ -5,12 +5,62 @@ Rounds join only what the last round added; results of rounds are tables in the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import durable
+from ..tables import Cleaning, durable, fresh_dir, remove
+
+
+class Known:
+    """What a fixpoint has found: tables bucketed by a 128-bit digest of the row, so that no round moves what earlier ones found to tell what is new."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.schema = like.sparkSession, like.schema
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables: dict[str, str] = {}
+        cols = [F.col(f"`{c}`") for c in like.columns]
+        # a hash passes over nulls: which columns are null counts as well
+        self.digest = [F.xxhash64(F.lit(i), *cols, *[c.isNull() for c in cols]).alias(f"__h{i}") for i in (1, 2)]
+
+    def _store(self, rows: DataFrame) -> str:
+        name = f"known_{uuid.uuid4().hex}"
+        self.tables[name] = path = fresh_dir(self.spark, name)
+        with Cleaning(self.spark):
+            rows.write.bucketBy(self.buckets, "__h1", "__h2").format("parquet").option("path", path).saveAsTable(name)
+        return name
+
+    def _rows(self, names) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[self.tables[n] for n in names])
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` that are not known yet, each once; they are from now on."""
+        cast = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]
+        new = rows.select(*cast).select("*", *self.digest).dropDuplicates(["__h1", "__h2"])
+        for name in self.tables:
+            new = new.join(self.spark.table(name).select("__h1", "__h2"), ["__h1", "__h2"], "left_anti")
+        return self._rows([self._store(new)])
+
+    def all(self) -> DataFrame:
+        return self._rows(self.tables)
+
+    def compact(self, most: int = 8) -> None:
+        """Make one table of many, before a round joins too many."""
+        if len(self.tables) > most:
+            old = dict(self.tables)
+            whole = self.all().select("*", *self.digest)
+            self._store(whole)
+            for name, path in old.items():
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                del self.tables[name]
+                remove(self.spark, path)
+
+    def close(self) -> DataFrame:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return self.all()
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 10_000) -> DataFrame:
@@ -18,32 +68,18 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
 
     ``step`` gets what the last round added and everything known, and gives rows of the same columns, which may repeat known ones.
     """
-    columns = seed.columns
-    new = durable(seed.distinct(), "delta")
-    parts = [new]
+    known = Known(seed)
+    new = known.add(seed)
     for _ in range(most_rounds):
         if new.isEmpty():
-            break
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-        found = step(new, known).select(*columns).distinct()
-        # null-safe anti join: a key column may be null
-        on = None
-        other = known.select(*[F.col(c).alias(f"__{c}") for c in columns])
-        for c in columns:
-            same = F.col(c).eqNullSafe(F.col(f"__{c}"))
-            on = same if on is None else on & same
-        new = durable(found.join(other, on, "left_anti"), "delta")
-        parts.append(new)
-        if len(parts) > 8:
-            parts = [durable(known.unionByName(new), "known")]
-    else:
-        raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
-    known = parts[0]
-    for p in parts[1:]:
-        known = known.unionByName(p)
-    return known
+            return known.close()
+        found = step(new, known.all()).select(*seed.columns)
+        new = known.add(found)
+        if len(known.tables) > 8:
+            # the last delta is read again by the next round
+            new = durable(new, "delta")
+            known.compact()
+    raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fixpoint import fixpoint
@@ -40,16 +40,17 @@ def shadowed_names(scopes: DataFrame, own: DataFrame) -> DataFrame:
     return fixpoint(own.select("scope", "name", "entity"), step)
 
 
-def reexport_chase(imports: DataFrame, exports: DataFrame, most: int = 100) -> DataFrame:
+def reexport_chase(imports: DataFrame, exports: DataFrame, most: int = 100, groups: list[Column] = ()) -> DataFrame:
     """(file, name, entity): what an import of ``name`` from ``file`` is, through aliases and re-exports; cycles end, the least entity of several wins.
 
     ``exports`` are (file, name, entity, from_file, from_name): a declared entity, or what another file exports under another name.
+    ``groups`` are expressions over entities, kept as columns, of which each value has its own winner.
     """
     want = imports.select("file", "name", F.col("file").alias("at"), F.col("name").alias("as"))
     hop = exports.where("from_file is not null").select(F.col("file").alias("at"), F.col("name").alias("as"), "from_file", "from_name")
     seen = fixpoint(want, lambda new, _: new.join(hop, ["at", "as"]).select("file", "name", F.col("from_file").alias("at"), F.col("from_name").alias("as")), most)
     found = seen.join(exports.where("entity is not null").select(F.col("file").alias("at"), F.col("name").alias("as"), "entity"), ["at", "as"])
-    return found.groupBy("file", "name").agg(F.min("entity").alias("entity"))
+    return found.groupBy("file", "name", *groups).agg(F.min("entity").alias("entity"))
 
 
 def last_member(members: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ Each fact table is a query over driver tables and other facts; :func:`with_facts
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,9 +114,12 @@ def with_facts(sql: str, recursive: bool = False) -> str:
 def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     """``query`` over the driver's tables in ``sf_dir`` and the facts."""
     whole = with_facts(query)
+    # views are named after their folder too, so that two scale factors in one session do not meet
+    mark = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
     for t in TABLES:
         if re.search(rf"\b{t}\b", whole):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"{t}_{mark}")
+            whole = re.sub(rf"(\b(?:FROM|JOIN)\s+){t}\b", rf"\g<1>{t}_{mark}", whole)
     return spark.sql(whole)
 
 

@@ -116,9 +116,9 @@ ORACLES = {
         'string' AS name_type FROM events""",
     "binop_types": """WITH t AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'number' ELSE 'string' END AS l FROM events),
         p AS (SELECT l, lead(l) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM t),
-        o AS (SELECT l, r, unnest(['+', '-', '<', '==', '&&', '??']) AS op FROM p WHERE r IS NOT NULL)
-        SELECT op, l, r, CASE WHEN op IN ('<', '==') THEN 'boolean' WHEN op = '+' AND (l = 'string' OR r = 'string') THEN 'string' WHEN op IN ('+', '-') AND l = 'number' AND r = 'number' THEN 'number'
-          WHEN op IN ('&&', '??') AND l = r THEN l ELSE 'unknown' END AS type, count(*) AS n FROM o GROUP BY 1, 2, 3, 4""",
+        o AS (SELECT l, r, unnest(['+', '-', '<', '==', '&&', '??', '**', '>>']) AS op FROM p WHERE r IS NOT NULL)
+        SELECT op, l, r, CASE WHEN op IN ('<', '==', '&&') THEN 'boolean' WHEN op = '+' AND (l = 'string' OR r = 'string') THEN 'string' WHEN op IN ('+', '-', '>>') AND l = 'number' AND r = 'number' THEN 'number'
+          ELSE 'unknown' END AS type, count(*) AS n FROM o GROUP BY 1, 2, 3, 4""",
     "signature_render": """SELECT p_partkey, concat('@shop/', replace(p_name, ' ', '/'), ': ', p_brand, '.', p_name, '(',
         CASE WHEN string_split(p_type, ' ')[1] = 'number' THEN 'number' ELSE concat('number, ', string_split(p_type, ' ')[1]) END, ')') AS signature FROM part""",
     "dot_lines": """WITH e AS (SELECT DISTINCT method, src, dst FROM f_flow)
@@ -136,4 +136,6 @@ ORACLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: with_facts(v) for k, v in ORACLES.items()}
+    from .programs import ORACLES as programs
+
+    return {**{k: with_facts(v) for k, v in ORACLES.items()}, **programs}

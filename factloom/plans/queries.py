@@ -174,10 +174,16 @@ def import_resolution(s, d):
 @query
 def ranked_lookup(s, d):
     """A brand as each nation sees it: the supplier of its own that has it, else one of its region, else any."""
-    c = sql(s, d, """
-        SELECT n.n_nationkey AS nation, m.name AS brand, CASE WHEN s_nationkey = n.n_nationkey THEN 1 WHEN o.n_regionkey = n.n_regionkey THEN 2 ELSE 3 END AS prio, s_suppkey AS suppkey
-        FROM f_method m JOIN supplier ON m.class_id = concat('S', CAST(s_suppkey AS STRING)) JOIN nation o ON o.n_nationkey = s_nationkey JOIN nation n ON n.n_nationkey IS NOT NULL""")
-    return resolve.ranked_lookup(c, ["nation", "brand"], ["prio", "suppkey"])
+    held = durable(sql(s, d, """
+        SELECT m.name AS brand, o.n_nationkey AS own, o.n_regionkey AS region, min(s_suppkey) AS suppkey
+        FROM f_method m JOIN supplier ON m.class_id = concat('S', CAST(s_suppkey AS STRING)) JOIN nation o ON o.n_nationkey = s_nationkey GROUP BY 1, 2, 3"""), "held")
+    nations = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    # the least supplier of each rank is found before nations ask: one a nation, one a region, one of all
+    best = lambda *by: held.groupBy("brand", *by).agg(F.min("suppkey").alias("suppkey"))
+    first = best("own").select(F.col("own").alias("nation"), "brand", F.lit(1).alias("prio"), "suppkey")
+    second = best("region").join(nations, "region").select("nation", "brand", F.lit(2).alias("prio"), "suppkey")
+    third = best().crossJoin(F.broadcast(nations)).select("nation", "brand", F.lit(3).alias("prio"), "suppkey")
+    return resolve.ranked_lookup(first.unionByName(second).unionByName(third), ["nation", "brand"], ["prio", "suppkey"])
 
 
 @query
@@ -204,7 +210,7 @@ def binop_types(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     left = F.when(F.col("event_type").isin("click", "view"), "number").otherwise("string")
     pairs = e.select("event_type", left.alias("l"), F.lead(left).over(w).alias("r")).where("r is not null")
-    ops = F.explode(F.array(*[F.lit(o) for o in ("+", "-", "<", "==", "&&", "??")])).alias("op")
+    ops = F.explode(F.array(*[F.lit(o) for o in ("+", "-", "<", "==", "&&", "??", "**", ">>")])).alias("op")
     typed = pairs.select("l", "r", ops).withColumn("type", ty.binop_type(F.col("op"), F.col("l"), F.col("r")))
     return typed.groupBy("op", "l", "r", "type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -271,7 +277,9 @@ def transpile_statistics(s, d):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from .programs import QUERIES as programs
+
+    return {**QUERIES, **programs}
 
 
 def oracle_sql() -> dict[str, str]:

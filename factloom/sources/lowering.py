@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from ..functions.types import OPPOSITE, binary_result
 from .syntax import Node
+from .views import shows, view_rows
 
 SCHEMAS = {
     "namespace": "sig string, parent string, name string, is_exported boolean, line int",
-    "class": "sig string, owner string, name string, origin string, super_name string, interfaces array<string>, modifiers array<string>, decorators array<string>, type_params array<string>, is_exported boolean, line int",
+    "class": "sig string, namespace string, owner string, name string, origin string, super_name string, interfaces array<string>, modifiers array<string>, decorators array<string>, type_params array<string>, is_exported boolean, line int",
     "method": "sig string, class_sig string, name string, sub_sig string, is_static boolean, is_abstract boolean, return_type string, modifiers array<string>, decorators array<string>, type_params array<string>, is_exported boolean, line int",
     "param": "method_sig string, ord int, name string, type string, optional boolean",
     "field": "sig string, class_sig string, name string, type string, is_static boolean, modifiers array<string>, decorators array<string>, initializer string, ord int, line int",
@@ -21,14 +23,19 @@ SCHEMAS = {
     "export": "clause string, kind string, from_spec string, name_before_as string, is_default boolean, line int",
     "block": "method_sig string, block int",
     "edge": "method_sig string, src int, dst int, ord int",
-    "stmt": "method_sig string, block int, idx int, kind string, text string, def string, uses array<string>, line int",
+    "return": "method_sig string, block int, idx int, value string",
+    # the right side of an assignment, or what a statement works on: its form, its member, operator or type, and its operands
+    "stmt": "method_sig string, block int, idx int, kind string, text string, def string, uses array<string>, line int, op string, member string, args array<string>, left_base string, left_member string",
+    # a node of a component tree: what it shows, its state fields, and the class or builder whose tree stands below it
+    "view": "method_sig string, class_sig string, node int, parent int, ord int, name string, target string, fields array<string>, attributes array<string>, line int",
     "call": "method_sig string, block int, idx int, kind string, base string, callee string, args array<string>",
     "alloc": "method_sig string, block int, idx int, local string, class_name string",
     "local": "method_sig string, name string, type string",
     "error": "message string",
 }
 DEFAULT_CLASS, DEFAULT_METHOD = "_DEFAULT_CLASS", "_DEFAULT_METHOD"
-OPPOSITE = {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "==": "!=", "===": "!==", "!=": "==", "!==": "==="}
+#: Names that are constants of the language.
+CONSTANTS = {"true", "false", "null", "undefined"}
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
 
@@ -41,10 +48,16 @@ class Body:
         self.edges: list[tuple[int, int]] = []
         self.at: int | None = 0
         self.temps = 0
-        self.targets: list[tuple[int, int | None]] = []
+        self.targets: list[tuple[int, int | None, str | None]] = []
+        self.label: str | None = None
+        #: Ends of labelled statements that are no loop or switch: only their label leaves them.
+        self.plain: set[int] = set()
+        #: (form, member, operands) of what :meth:`right` gave last.
+        self.shape: tuple[str | None, str | None, tuple] = (None, None, ())
         self.types: dict[str, str] = {}
         self.calls: list[dict] = []
         self.allocs: list[dict] = []
+        self.returned: list[dict] = []
 
     # --- blocks
     def new_block(self) -> int:
@@ -58,25 +71,26 @@ class Body:
     def enter(self, block: int) -> None:
         self.at = block
 
-    def emit(self, kind: str, text: str, line: int, define: str | None = None, uses: tuple = ()) -> tuple[int, int]:
+    def emit(self, kind: str, text: str, line: int, define: str | None = None, uses: tuple = (), shape=(None, None, ()), left=(None, None)) -> tuple[int, int]:
         if self.at is None:
             self.at = self.new_block()  # nothing leads here
         stmts = self.blocks[self.at]
-        names = [u for u in uses if u and NAME.match(u)]
-        stmts.append({"kind": kind, "text": text, "def": define, "uses": list(dict.fromkeys(names)), "line": line})
+        names = [u for u in uses if u and NAME.match(u) and u not in CONSTANTS]
+        op, member, args = shape
+        stmts.append({"kind": kind, "text": text, "def": define, "uses": list(dict.fromkeys(names)), "line": line, "op": op, "member": member, "args": list(args), "left_base": left[0], "left_member": left[1]})
         return self.at, len(stmts) - 1
 
-    def temp(self, text: str, line: int, uses: tuple, type_: str = "unknown") -> str:
+    def temp(self, text: str, line: int, uses: tuple, type_: str = "unknown", shape=(None, None, ())) -> str:
         name = f"$temp{self.temps}"
         self.temps += 1
         self.types[name] = type_
-        self.emit("assign", f"{name} = {text}", line, name, uses)
+        self.emit("assign", f"{name} = {text}", line, name, uses, shape)
         return name
 
     # --- expressions: the name or constant that holds the value
     def value(self, e: Node) -> str:
         text, uses, simple = self.right(e)
-        return text if simple else self.temp(text, e.line, uses, self.type_of(e))
+        return text if simple else self.temp(text, e.line, uses, self.type_of(e), self.shape)
 
     def type_of(self, e: Node) -> str:
         if e.kind == "literal":
@@ -93,16 +107,23 @@ class Body:
         if e.kind == "unary":
             return {"typeof": "string", "!": "boolean", "void": "undefined"}.get(e.name) or self.type_of(e.kids[0] if e.kids else Node("literal", 0))
         if e.kind == "binary":
-            a, b = (self.type_of(k) for k in e.kids)
-            if e.name in ("<", "<=", ">", ">=", "==", "===", "!=", "!==", "in", "instanceof"):
-                return "boolean"
-            if e.name == "+":
-                return "string" if "string" in (a, b) else "number" if a == b == "number" else "unknown"
-            return "number" if a == b == "number" else a if e.name in ("&&", "||", "??") and a == b else "unknown"
+            return binary_result(e.name, *(self.type_of(k) for k in e.kids))
         return "unknown"
 
     def right(self, e: Node) -> tuple[str, tuple, bool]:
-        """(text, operands, whether the text is a name or constant): the right side of an assignment."""
+        """(text, operands, whether the text is a name or constant): the right side of an assignment; ``shape`` tells its form."""
+        text, uses, simple = self.form(e)
+        if simple:
+            self.shape = ("name" if NAME.fullmatch(text) and text not in CONSTANTS else "const", None, (text,)) if e.kind != "function" else ("function", text, ())
+        elif e.kind in ("member", "element", "binary", "unary", "cast", "array"):
+            self.shape = ({"member": "field"}.get(e.kind, e.kind), e.name, uses)
+        elif e.kind == "call":
+            self.shape = (self.pending["kind"], self.pending["callee"], uses)
+        else:
+            self.shape = (e.kind, None, uses)
+        return text, uses, simple
+
+    def form(self, e: Node) -> tuple[str, tuple, bool]:
         k, line = e.kind, e.line
         if k == "literal":
             return e.name, (), True
@@ -115,6 +136,8 @@ class Body:
             base, index = self.value(e.kids[0]), self.value(e.kids[1])
             return f"{base}[{index}]", (base, index), False
         if k == "binary":
+            if e.name in ("&&", "||", "??") and acts(e.kids[1]):
+                return self.shortcut(e)
             a, b = self.value(e.kids[0]), self.value(e.kids[1])
             return f"{a} {e.name} {b}", (a, b), False
         if k == "unary":
@@ -160,6 +183,26 @@ class Body:
             return self.right(e.kids[1])
         raise ValueError(f"line {line}: {k}")
 
+    def shortcut(self, e: Node) -> tuple[str, tuple, bool]:
+        """A logical operator whose right side does something: it is done only where the left side asks for it."""
+        name = f"$temp{self.temps}"
+        self.temps += 1
+        text, uses, _ = self.right(e.kids[0])
+        self.emit("assign", f"{name} = {text}", e.line, name, uses, self.shape)
+        more, after = self.new_block(), self.new_block()
+        held = Node("name", e.line, name)
+        if e.name == "??":
+            self.branch(Node("binary", e.line, "==", kids=[held, Node("literal", e.line, "null", "null")]), more, after)
+        else:
+            self.branch(held, *((more, after) if e.name == "&&" else (after, more)))
+        self.enter(more)
+        text, uses, _ = self.right(e.kids[1])
+        self.emit("assign", f"{name} = {text}", e.line, name, uses, self.shape)
+        self.go(self.at, after)
+        self.enter(after)
+        self.types[name] = self.type_of(e)
+        return name, (name,), True
+
     def choose(self, e: Node) -> tuple[str, tuple, bool]:
         name = f"$temp{self.temps}"
         self.temps += 1
@@ -168,7 +211,7 @@ class Body:
         for block, arm in ((yes, e.kids[1]), (no, e.kids[2])):
             self.enter(block)
             v, uses, _ = self.right(arm)
-            self.emit("assign", f"{name} = {v}", e.line, name, uses)
+            self.emit("assign", f"{name} = {v}", e.line, name, uses, self.shape)
             self.go(self.at, after)
         self.enter(after)
         self.types[name] = self.type_of(e.kids[1])
@@ -184,8 +227,15 @@ class Body:
             name = f.name if f.kind == "name" else self.value(f)
             self.pending = {"kind": "static", "base": None, "callee": name, "args": args}
             text, uses = f"staticinvoke <{name}>({', '.join(args)})", (*args,)
+        body = e.extra.get("body")
         where = (self.at if self.at is not None else len(self.blocks), len(self.blocks[self.at]) if self.at is not None else 0)
         self.calls.append({"block": where[0], "idx": where[1], **self.pending})
+        if body is not None:
+            # what a component holds runs after it is made
+            made, shown = self.pending, self.temp(text, e.line, uses, "unknown", (self.pending["kind"], self.pending["callee"], uses))
+            self.run(body)
+            self.pending = made
+            return shown, (shown,), True
         return text, uses, False
 
     def new(self, e: Node) -> tuple[str, tuple, bool]:
@@ -193,11 +243,11 @@ class Body:
         args = [self.value(x) for x in e.kids[1:]]
         if name == "Array":
             return f"newarray ({', '.join(args)})", tuple(args), False
-        at = self.temp(f"new {name}", line, (), name)
+        at = self.temp(f"new {name}", line, (), name, ("new", name, ()))
         block, idx = self.at, len(self.blocks[self.at])
         self.allocs.append({"block": block, "idx": idx - 1, "local": at, "class_name": name})
         self.calls.append({"block": block, "idx": idx, "kind": "instance", "base": at, "callee": "constructor", "args": args})
-        self.emit("invoke", f"instanceinvoke {at}.<constructor>({', '.join(args)})", line, None, (at, *args))
+        self.emit("invoke", f"instanceinvoke {at}.<constructor>({', '.join(args)})", line, None, (at, *args), ("instance", "constructor", (at, *args)))
         return at, (at,), True
 
     def assign(self, e: Node) -> tuple[str, tuple, bool]:
@@ -206,21 +256,42 @@ class Body:
             source = Node("binary", e.line, op[:-1], kids=[target, source])
         if target.kind in ("array", "object"):
             v = self.value(source)
-            for i, x in enumerate(target.kids):
-                part = x.kids[0] if x.kind in ("property", "spread") else x
-                key = Node("member", e.line, x.name, kids=[Node("name", e.line, v)]) if target.kind == "object" else Node("element", e.line, kids=[Node("name", e.line, v), Node("literal", e.line, str(i), "number")])
-                self.assign(Node("assign", e.line, "=", kids=[part, key]))
+            self.bind(target, Node("name", e.line, v))
             return v, (v,), True
         if target.kind == "name":
             text, uses, _ = self.right(source)
             self.types[target.name] = self.types.get(target.name) if self.types.get(target.name, "unknown") != "unknown" else self.type_of(source)
-            self.emit("assign", f"{target.name} = {text}", e.line, target.name, uses)
+            self.emit("assign", f"{target.name} = {text}", e.line, target.name, uses, self.shape)
             return target.name, (target.name,), True
         left, uses, _ = self.right(target)
+        place = (uses[0] if uses else None, target.name if target.kind == "member" else "[]")
         v = self.value(source)
-        self.emit("assign", f"{left} = {v}", e.line, left, (*uses, v))
+        self.emit("assign", f"{left} = {v}", e.line, left, (*uses, v), ("name" if NAME.fullmatch(v) and v not in CONSTANTS else "const", None, (v,)), place)
         return v, (v,), True
 
+    def bind(self, pattern: Node, source: Node) -> None:
+        """Give the names of a pattern their parts of ``source``: by place or key, holes passed over, defaults where a part is undefined."""
+        line = source.line
+        if pattern.kind == "assign":
+            v = Node("name", line, self.value(source))
+            missing = Node("binary", line, "===", kids=[v, Node("literal", line, "undefined", "undefined")])
+            source, pattern = Node("conditional", line, kids=[missing, pattern.kids[1], v]), pattern.kids[0]
+        if pattern.kind not in ("array", "object"):
+            self.types.setdefault(pattern.name or "", "unknown")
+            self.assign(Node("assign", line, "=", kids=[pattern, source]))
+            return
+        v = Node("name", line, self.value(source))
+        for i, x in enumerate(pattern.kids):
+            if x.extra.get("hole"):
+                continue
+            if x.kind == "spread":
+                part = v if pattern.kind == "object" else Node("call", line, kids=[Node("member", line, "slice", kids=[v]), Node("literal", line, str(i), "number")])
+                self.bind(x.kids[0], part)
+            elif pattern.kind == "object":
+                self.bind(x.kids[0], Node("member", line, x.name, kids=[v]))
+            else:
+                self.bind(x, Node("element", line, kids=[v, Node("literal", line, str(i), "number")]))
+
     # --- conditions
     def branch(self, test: Node, yes: int, no: int) -> None:
         """Leave for ``yes`` or ``no``: the statement tests the opposite and its second successor is taken if that holds."""
@@ -235,11 +306,11 @@ class Body:
             return
         if test.kind == "binary" and test.name in OPPOSITE:
             a, b = self.value(test.kids[0]), self.value(test.kids[1])
-            text, uses = f"if {a} {OPPOSITE[test.name]} {b}", (a, b)
+            text, uses, op = f"if {a} {OPPOSITE[test.name]} {b}", (a, b), OPPOSITE[test.name]
         else:
             a = self.value(test)
-            text, uses = f"if {a} == 0", (a,)
-        self.emit("if", text, test.line, None, uses)
+            text, uses, op = f"if {a} == 0", (a, "0"), "=="
+        self.emit("if", text, test.line, None, uses, ("binary", op, uses))
         self.go(self.at, yes)
         self.go(self.at, no)
         self.at = None
@@ -268,21 +339,15 @@ class Body:
             return
         text, uses, simple = self.right(e)
         if not simple:
-            self.emit("invoke" if e.kind == "call" else "expression", text, s.line, None, uses)
+            self.emit("invoke" if e.kind == "call" else "expression", text, s.line, None, uses, self.shape)
 
     def do_variables(self, s: Node) -> None:
         for v in s.kids:
             source = v.value or Node("literal", v.line, "undefined", "undefined")
-            if v.extra["type"] != "unknown":
+            if v.extra["type"] != "unknown" and v.extra.get("pattern") is None:
                 self.types[v.name] = v.extra["type"]
-            if v.name[0] in "[{":
-                held = self.value(source)
-                for i, part in enumerate(x for x in re.split(r"[,\s]+", v.name[1:-1]) if x):
-                    key, _, local = part.partition(":")
-                    ref = f"{held}[{i}]" if v.name[0] == "[" else f"{held}.{key}"
-                    name = (local or key).lstrip(".").partition("=")[0]
-                    self.types.setdefault(name, "unknown")
-                    self.emit("assign", f"{name} = {ref}", v.line, name, (held,))
+            if v.extra.get("pattern") is not None:
+                self.bind(v.extra["pattern"], source)
             else:
                 self.types.setdefault(v.name, "unknown")
                 self.assign(Node("assign", v.line, "=", kids=[Node("name", v.line, v.name), source]))
@@ -290,7 +355,8 @@ class Body:
     def do_return(self, s: Node) -> None:
         if s.kids:
             v = self.value(s.kids[0])
-            self.emit("return", f"return {v}", s.line, None, (v,))
+            at = self.emit("return", f"return {v}", s.line, None, (v,), ("name" if NAME.fullmatch(v) and v not in CONSTANTS else "const", None, (v,)))
+            self.returned.append({"block": at[0], "idx": at[1], "value": v})
         else:
             self.emit("return_void", "return", s.line)
         self.leave()
@@ -303,6 +369,26 @@ class Body:
 
     finals: tuple = ()
 
+    def do_labeled(self, s: Node) -> None:
+        """A label names the loop or switch behind it; behind anything else ``break`` leaves that statement."""
+        if s.kids[0].kind in ("for", "for-of", "for-in", "while", "do", "switch"):
+            self.label = s.name
+            self.run(s.kids[0])
+            self.label = None
+            return
+        after = self.new_block()
+        self.plain.add(after)
+        self.targets.append((after, None, s.name))
+        self.run(s.kids[0])
+        self.targets.pop()
+        self.go(self.at, after)
+        self.enter(after)
+
+    def open(self, out: int, again: int | None) -> None:
+        """From here ``break`` goes to ``out`` and ``continue`` to ``again``, by the label that stands before, if any, as well."""
+        self.targets.append((out, again, self.label))
+        self.label = None
+
     def do_throw(self, s: Node) -> None:
         v = self.value(s.kids[0]) if s.kids else "undefined"
         self.emit("throw", f"throw {v}", s.line, None, (v,))
@@ -314,13 +400,14 @@ class Body:
 
     def do_break(self, s: Node) -> None:
         self.emit("goto", "goto", s.line)
-        if self.targets:
-            self.go(self.at, self.targets[-1][0])
+        to = next((out for out, _, label in reversed(self.targets) if (label == s.name if s.name else out not in self.plain)), None)
+        if to is not None:
+            self.go(self.at, to)
         self.at = None
 
     def do_continue(self, s: Node) -> None:
         self.emit("goto", "goto", s.line)
-        to = next((c for _, c in reversed(self.targets) if c is not None), None)
+        to = next((again for _, again, label in reversed(self.targets) if again is not None and (not s.name or label == s.name)), None)
         if to is not None:
             self.go(self.at, to)
         self.at = None
@@ -339,6 +426,7 @@ class Body:
         self.enter(after)
 
     def loop(self, test, step, body) -> None:
+        label, self.label = self.label, None
         head, inside, after = self.new_block(), self.new_block(), self.new_block()
         again = self.new_block() if step else head
         self.go(self.at, head)
@@ -347,7 +435,7 @@ class Body:
             self.go(head, inside)
         else:
             test(inside, after)
-        self.targets.append((after, again))
+        self.targets.append((after, again, label))
         self.enter(inside)
         body()
         self.go(self.at, again)
@@ -364,7 +452,7 @@ class Body:
     def do_do(self, s: Node) -> None:
         inside, check, after = self.new_block(), self.new_block(), self.new_block()
         self.go(self.at, inside)
-        self.targets.append((after, check))
+        self.open(after, check)
         self.enter(inside)
         self.run(s.kids[1])
         self.go(self.at, check)
@@ -375,23 +463,26 @@ class Body:
 
     def do_for(self, s: Node) -> None:
         start, test, step, body = s.kids
+        label, self.label = self.label, None
         if start is not None:
             self.run(start if start.kind == "variables" else Node("expression", start.line, kids=[start]))
+        self.label = label
         self.loop((lambda yes, no: self.branch(test, yes, no)) if test else None, (lambda: self.run(Node("expression", step.line, kids=[step]))) if step else None, lambda: self.run(body))
 
     def each(self, s: Node, element: bool) -> None:
         start, over, body = s.kids
-        line, target = s.line, start.kids[0].name if start.kind == "variables" else flat(start)
+        line, label, self.label = s.line, self.label, None
+        target = (start.kids[0].extra.get("pattern") or Node("name", line, start.kids[0].name)) if start.kind == "variables" else start
         held = self.value(over)
-        size = self.temp(f"lengthof {held}", line, (held,), "number")
-        index = self.temp("0", line, (), "number")
+        size = self.temp(f"lengthof {held}", line, (held,), "number", ("lengthof", None, (held,)))
+        index = self.temp("0", line, (), "number", ("const", None, ("0",)))
         name, number = (lambda n: Node("name", line, n)), Node("literal", line, "1", "number")
 
         def inside() -> None:
-            self.types.setdefault(target, "unknown")
-            self.emit("assign", f"{target} = {held}[{index}]" if element else f"{target} = {index}", line, target, (held, index))
+            self.bind(target, Node("element", line, kids=[name(held), name(index)]) if element else name(index))
             self.run(body)
 
+        self.label = label
         self.loop(lambda yes, no: self.branch(Node("binary", line, "<", kids=[name(index), name(size)]), yes, no), lambda: self.assign(Node("assign", line, "+=", kids=[name(index), number])), inside)
 
     def do_for_of(self, s: Node) -> None:
@@ -401,12 +492,14 @@ class Body:
         self.each(s, False)
 
     def do_switch(self, s: Node) -> None:
+        label, self.label = self.label, None
         v = self.value(s.kids[0])
+        self.label = label
         cases, after = s.kids[1:], self.new_block()
         tests = [self.value(c.value) if c.value is not None else "default" for c in cases]
-        self.emit("switch", f"switch({v}) {{{', '.join(tests)}}}", s.line, None, (v, *tests))
+        self.emit("switch", f"switch({v}) {{{', '.join(tests)}}}", s.line, None, (v, *(t for t in tests if t != "default")), ("switch", None, (v, *tests)))
         source, default = self.at, False
-        self.targets.append((after, None))
+        self.open(after, None)
         before = None
         for c in cases:
             block = self.new_block()
@@ -439,7 +532,7 @@ class Body:
             self.enter(handler)
             if s.name:
                 self.types[s.name] = "unknown"
-                self.emit("assign", f"{s.name} = caughtexception", s.line, s.name)
+                self.emit("assign", f"{s.name} = caughtexception", s.line, s.name, (), ("caught", None, ()))
             self.run(caught)
             self.go(self.at, last)
         if final:
@@ -466,6 +559,13 @@ class Body:
         self.flow = list(dict.fromkeys((number[s], number[d]) for s, d in edges))
 
 
+def acts(e: Node) -> bool:
+    """Whether evaluating an expression may do more than give its value."""
+    if e.kind in ("function", "class"):
+        return False
+    return e.kind in ("call", "new", "assign", "update") or any(acts(k) for k in e.kids if isinstance(k, Node))
+
+
 def flat(e: Node) -> str:
     """A name or chain of members as text."""
     if e.kind == "member":
@@ -492,16 +592,16 @@ class Facts:
         """The members of a file or namespace; what is not a declaration makes the default method of its default class."""
         default = f"{prefix}{joint}{DEFAULT_CLASS}"
         rest: list[Node] = []
-        self.class_row(default, parent or self.file, Node("class", 1, DEFAULT_CLASS, extra={"origin": "class"}))
+        self.class_row(default, parent or self.file, Node("class", 1, DEFAULT_CLASS, extra={"origin": "class"}), parent)
         for n in nodes:
             mods = n.extra.get("modifiers", [])
             if n.kind == "class":
-                self.whole_class(n, f"{prefix}{joint}{n.name or 'default'}", parent or self.file)
+                self.whole_class(n, f"{prefix}{joint}{n.name or 'default'}", parent or self.file, parent)
             elif n.kind == "function":
                 self.method(n, default)
             elif n.kind == "namespace":
                 sig = f"{prefix}{joint}{n.name}"
-                self.add("namespace", sig=sig, parent=parent, name=n.name, is_exported="export" in mods, line=n.line)
+                self.add("namespace", sig=sig, parent=parent or self.file, name=n.name, is_exported="export" in mods, line=n.line)
                 self.scope(n.kids, sig, ".", sig)
             elif n.kind == "import":
                 for clause, kind, before in n.value:
@@ -519,21 +619,24 @@ class Facts:
                     self.add("export", clause=name, kind=n.kind, from_spec=None, name_before_as=None, is_default="default" in mods, line=n.line)
         self.method(Node("function", 1, DEFAULT_METHOD, Node("block", 1, kids=rest), [], {"returns": "void", "modifiers": [], "type_params": []}), default)
 
-    def class_row(self, sig: str, owner: str, n: Node) -> None:
+    def class_row(self, sig: str, owner: str, n: Node, namespace: str | None = None) -> None:
         x = n.extra
         up = x.get("extends", [])
         origin = x.get("origin", "class")
-        self.add("class", sig=sig, owner=owner, name=n.name, origin=origin, super_name=up[0] if up and origin != "interface" else None, interfaces=[*x.get("implements", []), *(up if origin == "interface" else [])], modifiers=x.get("modifiers", []), decorators=x.get("decorators", []), type_params=x.get("type_params", []), is_exported="export" in x.get("modifiers", []), line=n.line)
+        self.add("class", sig=sig, namespace=namespace, owner=owner, name=n.name, origin=origin, super_name=up[0] if up and origin != "interface" else "ViewPU" if x.get("is_struct") else None, interfaces=[*x.get("implements", []), *(up if origin == "interface" else [])], modifiers=x.get("modifiers", []), decorators=x.get("decorators", []), type_params=x.get("type_params", []), is_exported="export" in x.get("modifiers", []), line=n.line)
 
-    def whole_class(self, n: Node, sig: str, owner: str) -> None:
-        self.class_row(sig, owner, n)
+    def whole_class(self, n: Node, sig: str, owner: str, namespace: str | None = None) -> None:
+        self.class_row(sig, owner, n, namespace)
         fields = [k for k in n.kids if k.kind == "field"]
         for i, f in enumerate(fields):
             x = f.extra
             self.add("field", sig=f"{sig}.{f.name}", class_sig=sig, name=f.name, type=x["type"], is_static="static" in x["modifiers"], modifiers=x["modifiers"], decorators=x["decorators"], initializer=None if f.value is None else f.value.name if f.value.kind in ("literal", "name") else f.value.kind, ord=i, line=f.line)
-        for m in n.kids:
-            if m.kind == "function":
-                self.method(m, sig, [f for f in fields if "static" not in f.extra["modifiers"]] if m.name == "constructor" else [])
+        made = [m for m in n.kids if m.kind == "function"]
+        if fields and n.extra.get("origin", "class") == "class" and not any(m.name == "constructor" for m in made):
+            # fields get their values even where no constructor is written
+            made.append(Node("function", n.line, "constructor", Node("block", n.line), [], {"returns": "unknown", "modifiers": [], "type_params": []}))
+        for m in made:
+            self.method(m, sig, fields if m.name == "constructor" else [])
 
     def method(self, n: Node, class_sig: str, fields: list[Node] = (), name: str | None = None) -> str:
         name = name or n.name or "default"
@@ -542,21 +645,29 @@ class Facts:
         mods = x.get("modifiers", [])
         self.add("method", sig=sig, class_sig=class_sig, name=name, sub_sig=sub, is_static="static" in mods, is_abstract="abstract" in mods or n.value is None, return_type=x["returns"], modifiers=mods, decorators=x.get("decorators", []), type_params=x.get("type_params", []), is_exported="export" in mods, line=n.line)
         for i, p in enumerate(n.kids):
-            self.add("param", method_sig=sig, ord=i, name=p.name, type=p.extra["type"], optional=p.extra["optional"])
+            self.add("param", method_sig=sig, ord=i, name=p.name if p.extra.get("pattern") is None else f"$parameter{i}", type=p.extra["type"], optional=p.extra["optional"])
         if n.value is not None:
             self.body(n, sig, class_sig, fields)
+        if shows(n, x.get("decorators", [])):
+            for row in view_rows(n):
+                self.add("view", method_sig=sig, class_sig=class_sig, **row)
         return sig
 
     def body(self, n: Node, sig: str, class_sig: str, fields: list[Node]) -> None:
         b = Body(sig, self)
         for i, p in enumerate(n.kids):
-            b.types[p.name] = p.extra["type"]
-            b.emit("assign", f"{p.name} = parameter{i}: {p.extra['type']}", n.line, p.name)
+            name = p.name if p.extra.get("pattern") is None else f"$parameter{i}"
+            b.types[name] = p.extra["type"]
+            b.emit("assign", f"{name} = parameter{i}: {p.extra['type']}", n.line, name, (), ("parameter", p.extra["type"], (str(i),)))
         b.types["this"] = class_sig
-        b.emit("assign", f"this = this: {class_sig}", n.line, "this")
+        b.emit("assign", f"this = this: {class_sig}", n.line, "this", (), ("this", class_sig, ()))
+        for i, p in enumerate(n.kids):
+            if p.extra.get("pattern") is not None:
+                b.bind(p.extra["pattern"], Node("name", n.line, f"$parameter{i}"))
         for f in fields:
             source = f.value or Node("literal", f.line, "undefined", "undefined")
-            b.assign(Node("assign", f.line, "=", kids=[Node("member", f.line, f.name, kids=[Node("name", f.line, "this")]), source]))
+            base = class_sig.rpartition(" ")[2].rpartition(".")[2] if "static" in f.extra["modifiers"] else "this"
+            b.assign(Node("assign", f.line, "=", kids=[Node("member", f.line, f.name, kids=[Node("name", f.line, base)]), source]))
         b.run(n.value)
         b.finish(n.line)
         for block, number in b.order.items():
@@ -567,7 +678,7 @@ class Facts:
         for s, d in b.flow:
             self.add("edge", method_sig=sig, src=s, dst=d, ord=count.get(s, 0))
             count[s] = count.get(s, 0) + 1
-        for table, found in (("call", b.calls), ("alloc", b.allocs)):
+        for table, found in (("call", b.calls), ("alloc", b.allocs), ("return", b.returned)):
             for r in found:
                 if r["block"] in b.order:
                     self.add(table, method_sig=sig, **{**r, "block": b.order[r["block"]]})

@@ -41,13 +41,14 @@ class Printer:
     def bound(self, n: Node) -> tuple[str, int]:
         k, kids = n.kind, n.kids
         if k in ("literal", "name"):
-            return n.name, 20
+            return "" if n.extra.get("hole") else n.name, 20
         if k == "member":
             return f"{self.e(kids[0], 18)}.{n.name}", 19
         if k == "element":
             return f"{self.e(kids[0], 18)}[{self.e(kids[1])}]", 19
         if k == "call":
-            return f"{self.e(kids[0], 18)}({self.list(kids[1:])})", 19
+            held = n.extra.get("body")
+            return f"{self.e(kids[0], 18)}({self.list(kids[1:])})" + (" " + self.body(held) if held is not None else ""), 19
         if k == "new":
             return f"new {self.e(kids[0], 19) if kids[0].kind != 'call' else '(' + self.e(kids[0]) + ')'}({self.list(kids[1:])})", 19
         if k == "array":
@@ -158,7 +159,7 @@ class Printer:
         mods = self.decorated(n)
         generics = f"<{', '.join(x['type_params'])}>" if x.get("type_params") else ""
         up = "".join(f" {word} {', '.join(x[word])}" for word in ("extends", "implements") if x.get(word))
-        self.put(_words(mods, x["origin"], (n.name or "") + generics).rstrip() + up + " {")
+        self.put(_words(mods, "struct" if x.get("is_struct") else x["origin"], (n.name or "") + generics).rstrip() + up + " {")
         enum = x["origin"] == "enum"
         self.inside(n.kids, (lambda f: self.put(f.name + (f" = {self.e(f.value, 0)}" if f.value else "") + ",")) if enum else self.member)
         self.put("}")
@@ -224,6 +225,10 @@ class Printer:
         self.inside(self.braced(body))
         self.put("}")
 
+    def on_labeled(self, n: Node) -> None:
+        self.put(f"{n.name}:")
+        self.statement(n.kids[0])
+
     def on_while(self, n: Node) -> None:
         self.looped(f"while ({self.e(n.kids[0])})", n.kids[1])
 
@@ -265,7 +270,7 @@ class Printer:
         self.put("}")
 
     def jump(self, n: Node) -> None:
-        self.put(_words(n.kind, *(self.e(x) for x in n.kids)) + ";")
+        self.put(_words(n.kind, *filter(None, [n.name]), *(self.e(x) for x in n.kids)) + ";")
 
     on_return = on_throw = on_break = on_continue = jump
 

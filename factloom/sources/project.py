@@ -13,17 +13,46 @@ from .lowering import SCHEMAS, facts_of
 
 # Folders that hold no source of the project, and its package files.
 SKIPPED = ["oh_modules", "node_modules", "ets-loader"]
-PACKAGE_FILE = "oh-package.json5"
+PACKAGE_FILE, BUILD_SCRIPT = "oh-package.json5", "hvigorfile.ts"
+
+
+# The keys of a project's configuration that are read, and their meaning when absent.
+CONFIG = {"targetProjectName": "", "targetProjectDirectory": "", "logPath": "", "etsSdkPath": "", "otherSdks": []}
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
-    """A project's configuration; a missing file raises."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
-    return read_json5(text)
+    """A project's configuration: name, directory, log path and SDKs, other keys passed over; a missing file raises."""
+    found = read_json5(spark.read.option("wholetext", True).text(path).first()[0]) or {}
+    return {k: found.get(k, default) for k, default in CONFIG.items()}
+
+
+def config_of(directory: str) -> dict:
+    """The configuration of a project that has no file of its own: its folder's name and the folder."""
+    return {**CONFIG, "targetProjectName": directory.rstrip("/").rpartition("/")[2], "targetProjectDirectory": directory}
+
+
+def sdk_files(spark: SparkSession, config: dict) -> DataFrame:
+    """(sdk, path, code): the declaration files of each SDK that a configuration names."""
+    sdks = [("ets", config["etsSdkPath"])] if config["etsSdkPath"] else []
+    sdks += [(x["name"], x["path"]) for x in config["otherSdks"]]
+    out = spark.createDataFrame([], "sdk string, path string, code string")
+    for name, folder in sdks:
+        out = out.unionByName(list_files(spark, folder, [".d.ts", ".d.ets"], True).select(F.lit(name).alias("sdk"), "path", "code"))
+    return out
+
+
+def original_paths(files: DataFrame) -> DataFrame:
+    """(path, original): what a generated file was made of: ``x.ts`` of ``x.ets`` where there is a map ``x.ts.map``, else itself."""
+    maps = files.where(F.endswith("path", F.lit(".map"))).select(F.regexp_replace("path", r"\.map$", "").alias("path"), F.lit(True).alias("mapped")).distinct()
+    original = F.when(F.col("mapped") & F.endswith("path", F.lit(".ts")), F.regexp_replace("path", r"\.ts$", ".ets")).otherwise(F.col("path"))
+    return files.where(~F.endswith("path", F.lit(".map"))).join(maps, "path", "left").select("path", original.alias("original"))
 
 
 def list_files(spark: SparkSession, root: str, extensions: list[str], is_sdk: bool = False) -> DataFrame:
-    """(path, code, is_sdk) of the files under ``root`` with one of the extensions, paths relative to it."""
+    """(path, code, is_sdk) of the files under ``root`` with one of the extensions, paths relative to it; none where there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "path string, code string, is_sdk boolean")
     found = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root).select(F.col("value").alias("code"), F.input_file_name().alias("full"))
     relative = F.regexp_replace("full", "^.*?" + re.escape(re.sub(r"^\w+:/*", "/", root).rstrip("/")) + "/", "")
     ends = F.lit(False)
@@ -34,7 +63,8 @@ def list_files(spark: SparkSession, root: str, extensions: list[str], is_sdk: bo
 
 
 def governing_packages(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """(path, packages): each file's package files from the root down, by the folders that its path starts with."""
+    """(path, packages): each file's package files from the root down, by the folders that its path starts with; build scripts have none."""
+    files = files.where(~F.col("path").rlike(rf"(^|/){re.escape(BUILD_SCRIPT)}$"))
     parts = F.split("path", "/")
     depth = F.size(parts)
     folders = files.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), depth - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("depth", "folder"))
@@ -56,15 +86,31 @@ def parse_files(files: DataFrame, project: str) -> DataFrame:
 
 
 class Program:
-    """The facts of a project, by table, with typed columns."""
+    """The facts of a project, by table, with typed columns.
 
-    def __init__(self, parsed: DataFrame):
-        from ..tables import durable
+    Parsed facts are written once, in a folder a table; a table's rows get their types when it is first asked for and are stored like
+    that. ``sdk_paths`` are a column ``path`` of files that are not the project's own.
+    """
+
+    def __init__(self, parsed: DataFrame, sdk_paths: DataFrame | None = None):
+        from ..tables import Cleaning, fresh_dir
 
-        self.parsed = durable(parsed, "facts")
+        self.spark, self.path, self.sdk_paths = parsed.sparkSession, fresh_dir(parsed.sparkSession, "facts"), sdk_paths
+        with Cleaning(self.spark):
+            parsed.select("table", "path", "row").write.partitionBy("table").parquet(self.path)
+        self.tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, table: str) -> DataFrame:
-        return self.parsed.where(F.col("table") == table).select("path", F.from_json("row", SCHEMAS[table]).alias("r")).select("path", "r.*")
+        from ..tables import durable
+
+        if table not in self.tables:
+            stored = self.spark.read.schema("path string, row string, table string").option("basePath", self.path).parquet(self.path).where(F.col("table") == table)
+            self.tables[table] = durable(stored.select("path", F.from_json("row", SCHEMAS[table]).alias("r")).select("path", "r.*"), table)
+        return self.tables[table]
+
+    def own(self, table: str) -> DataFrame:
+        """A table's rows of the project's own files."""
+        return self[table] if self.sdk_paths is None else self[table].join(self.sdk_paths.select("path"), "path", "left_anti")
 
 
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -72,6 +118,27 @@ def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.withColumn("hash", F.sha2("code", 256)).join(known.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
+def import_files(imports: DataFrame, packages: DataFrame | None = None, sdks: DataFrame | None = None) -> DataFrame:
+    """(path, from_spec, kind, file): where each import of (path, from_spec) leads, without extension.
+
+    Relative ones lead to the project's own files, ``@ohos.`` and ``@kit.`` ones to the system's SDK, names of (name) ``sdks`` to those, and
+    what starts with a dependency (name, target) of ``packages`` to its target; of several dependencies the last of the order that they
+    are declared in (ord) counts.
+    """
+    spark = imports.sparkSession
+    base = imports.select("path", "from_spec").distinct().withColumn("own", import_target(F.col("path"), F.col("from_spec")))
+    head = F.regexp_extract("from_spec", "^((?:@[^/]+/)?[^/]+)", 1)
+    base = base.withColumn("head", head).withColumn("system", F.col("from_spec").rlike(r"^@(ohos|kit)\."))
+    named = (sdks if sdks is not None else spark.createDataFrame([], "name string")).select(F.col("name").alias("head"), F.lit(True).alias("is_sdk")).distinct()
+    given = packages if packages is not None else spark.createDataFrame([], "name string, target string, ord int")
+    last = given.groupBy(F.col("name").alias("head")).agg(F.max_by("target", "ord").alias("target"))
+    both = base.join(named, "head", "left").join(last, "head", "left")
+    rest = F.expr("substring(from_spec, length(head) + 1)")
+    kind = F.when(F.col("own").isNotNull(), "own").when(F.col("system"), "system").when(F.col("is_sdk"), "sdk").when(F.col("target").isNotNull(), "dependency").otherwise("unknown")
+    file = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("system") | F.col("is_sdk"), F.col("from_spec")).when(F.col("target").isNotNull(), F.concat("target", rest))
+    return both.select("path", "from_spec", kind.alias("kind"), file.alias("file"))
+
+
 def import_target(path: Column, spec: Column) -> Column:
     """The project path that a relative import names, without extension; null for other imports."""
     from ..functions.text import posix_path, without_extension

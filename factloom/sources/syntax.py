@@ -319,6 +319,8 @@ class Parser:
             left = Node("binary", line, op, kids=[left, right])
 
     no_in = False
+    #: Inside the body of a component's method: calls may have blocks.
+    views = False
 
     def unary(self) -> Node:
         line = self.line
@@ -371,6 +373,8 @@ class Parser:
                 self.need("]")
             elif self.text == "(" and calls:
                 e = Node("call", line, kids=[e, *self.arguments()])
+                if self.views and self.text == "{" and e.kids[0].kind == "name" and not self.toks[self.i][3]:
+                    e.extra["body"] = self.block()
             elif self.text == "<" and calls and (args := self.attempt(self.generic_call)) is not None:
                 e = Node("call", line, kids=[e, *args])
             elif self.text == "!" and not self.toks[self.i][3] and self.ahead() not in ("=", "=="):
@@ -393,7 +397,7 @@ class Parser:
             self.need(")")
             return e
         if self.eat("["):
-            return Node("array", line, kids=self.many("]", lambda: Node("literal", line, "undefined", "undefined") if self.text == "," else self.spread()))
+            return Node("array", line, kids=self.many("]", lambda: Node("literal", line, "undefined", "undefined", extra={"hole": True}) if self.text == "," else self.spread()))
         if self.text == "{":
             return self.object()
         if self.text == "new":
@@ -467,14 +471,20 @@ class Parser:
             while self.text in MODIFIERS and self.ahead() not in (",", ")", ":", "=", "?"):
                 mods.append(self.take())
             rest = self.eat("...")
-            name = self.pattern_text() if self.text in ("{", "[") else self.name()
+            name, tree = self.pattern() if self.text in ("{", "[") else (self.name(), None)
             optional = self.eat("?")
             type_ = self.annotation()
             start = self.assignment() if self.eat("=") else None
-            return Node("param", line, name, start, extra={"type": type_, "optional": optional or start is not None, "rest": rest, "modifiers": mods})
+            return Node("param", line, name, start, extra={"type": type_, "optional": optional or start is not None, "rest": rest, "modifiers": mods, "pattern": tree})
 
         return self.many(")", one)
 
+    def pattern(self) -> tuple[str, Node]:
+        """A destructuring pattern: its text and its tree, that of the literal it looks like."""
+        at = self.i
+        tree = self.primary()
+        return "".join(t[1] for t in self.toks[at : self.i]), tree
+
     def pattern_text(self) -> str:
         close, depth, out = {"{": "}", "[": "]"}[self.text], 0, ""
         while True:
@@ -489,9 +499,15 @@ class Parser:
         generics = self.type_parameters()
         params = self.parameters()
         returns = self.annotation()
+        held, self.views = self.views, self.in_struct or self.built
+        self.built = False
         body = self.block() if self.text == "{" else None
+        self.views = held
         return Node("function", line, name, body, params, {"returns": returns, "modifiers": mods, "type_params": generics})
 
+    #: Members of a component, and a method that a decorator makes a builder, have component bodies.
+    in_struct = built = False
+
     def function(self, mods: list[str]) -> Node:
         line = self.line
         if self.eat("async"):
@@ -508,6 +524,7 @@ class Parser:
                 text += "." + self.name()
             if self.text == "(":
                 self.arguments()
+            self.built |= text in ("Builder", "Extend", "Styles")
             out.append(text)
         return out
 
@@ -520,7 +537,7 @@ class Parser:
     def class_(self, decorators: list[str], mods: list[str]) -> Node:
         line, kind = self.line, self.take()
         name = self.name() if self.kind == "name" and self.text not in ("extends", "implements") else None
-        node = Node("class", line, name, extra={"origin": {"struct": "class"}.get(kind, kind), "decorators": decorators, "modifiers": mods, "extends": [], "implements": [], "type_params": self.type_parameters()})
+        node = Node("class", line, name, extra={"origin": {"struct": "class"}.get(kind, kind), "is_struct": kind == "struct", "decorators": decorators, "modifiers": mods, "extends": [], "implements": [], "type_params": self.type_parameters()})
         while self.text in ("extends", "implements"):
             key = self.take()
             node.extra[key].append(self.heritage())
@@ -530,9 +547,11 @@ class Parser:
         if kind == "enum":
             node.kids = self.many("}", lambda: Node("field", self.line, self.name(), self.assignment() if self.eat("=") else None, extra={"type": "number", "modifiers": ["static"], "decorators": [], "optional": False}))
             return node
+        held, self.in_struct = self.in_struct, kind == "struct"
         while not self.eat("}"):
             if not (self.eat(";") or self.eat(",")):
                 node.kids.append(self.member())
+        self.in_struct = held
         return node
 
     def heritage(self) -> str:
@@ -588,10 +607,10 @@ class Parser:
 
         def one() -> Node:
             at = self.line
-            name = self.pattern_text() if self.text in ("{", "[") else self.name()
+            name, tree = self.pattern() if self.text in ("{", "[") else (self.name(), None)
             self.eat("!")
             type_ = self.annotation()
-            return Node("variable", at, name, self.assignment() if self.eat("=") else None, extra={"type": type_})
+            return Node("variable", at, name, self.assignment() if self.eat("=") else None, extra={"type": type_, "pattern": tree})
 
         kids = [one()]
         while self.eat(","):
@@ -615,9 +634,9 @@ class Parser:
         if word == "async" and self.ahead() == "function":
             return self.function([])
         if self.kind == "name" and self.ahead() == ":" and word not in ("case", "default"):
+            label = self.take()
             self.take()
-            self.take()
-            return self.statement()
+            return Node("labeled", line, label, kids=[self.statement()])
         e = self.expression()
         self.end()
         return Node("expression", line, kids=[e])
@@ -830,7 +849,8 @@ class Parser:
         if not self.toks[self.i][3] and self.text not in (";", "}") and self.kind != "end":
             value = self.take() if word in ("break", "continue") else self.expression()
         self.end()
-        return Node(word, line, kids=[] if value is None or isinstance(value, str) else [value])
+        label = value if isinstance(value, str) else None
+        return Node(word, line, label, kids=[] if value is None or label else [value])
 
     on_return = on_throw = on_break = on_continue = jump
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.project import parse_files
+from ..tables import drop, durable
 
 
 def watch(spark: SparkSession, folder: str, extension: str = ".ts") -> DataFrame:
@@ -38,12 +39,14 @@ def analyse_changes(stream: DataFrame, project: str, out: str, checkpoint: str,
             batch = batch.withColumn("nth", last).where("nth = 1")
         known = earlier("files", "path string, hash string, batch long")
         known = known.withColumn("last", F.max("batch").over(Window.partitionBy("path"))).where("batch = last")
-        new = batch.dropDuplicates(["path", "hash"]).join(known.select("path", "hash"), ["path", "hash"], "left_anti").persist()
+        new = batch.dropDuplicates(["path", "hash"]).join(known.select("path", "hash"), ["path", "hash"], "left_anti")
+        # written once: a lost executor would read files again that may have changed since
+        new = durable(new, "changed")
         parse_files(new, project).write.mode("overwrite").parquet(f"{out}/facts/batch={number}")
         seen = earlier("seen", "hash string, batch long")
         new.select("hash").distinct().join(seen.select("hash"), "hash", "left_anti").write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
         new.select("path", "hash").write.mode("overwrite").parquet(f"{out}/files/batch={number}")
-        new.unpersist()
+        drop(new)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
