@@ -50,8 +50,13 @@ def last_bracket(text: Column) -> Column:
 
 
 def char_code_sum(text: Column) -> Column:
-    """The sum of a string's character codes."""
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
+    """The sum of a string's UTF-16 units: a character above 65,535 is two of them."""
+
+    def units(c: Column) -> Column:
+        point, over = F.ascii(c), F.ascii(c) - 0x10000
+        return F.when(over < 0, point).otherwise(0xD800 + F.shiftright(over, 10) + 0xDC00 + over.bitwiseAND(0x3FF))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + units(c))
 
 
 def accessor_name(name: Column) -> Column:

@@ -10,7 +10,12 @@ ARITHMETIC = ["-", "*", "/", "%", "&", "|", "^", "<<", ">>", ">>>"]
 RELATIONAL = ["<", "<=", ">", ">=", "==", "!=", "===", "!==", "&&", "||"]
 OPPOSITE = {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "==": "!=", "===": "!==", "!=": "==", "!==": "==="}
 # Type names of the analysed language, and components without children.
-PRIMITIVES = ["boolean", "number", "string", "any", "void", "never", "null", "undefined", "unknown"]
+PRIMITIVES = ["boolean", "number", "string", "undefined", "null", "any", "void", "never"]
+# Syntax kinds of the analysed language and the types they stand for.
+KEYWORDS = {
+    "NumberKeyword": "number", "StringKeyword": "string", "BooleanKeyword": "boolean", "VoidKeyword": "void", "AnyKeyword": "any", "NullKeyword": "null", "UndefinedKeyword": "undefined", "NeverKeyword": "never",
+    "TrueKeyword": "boolean", "FalseKeyword": "boolean", "NumericLiteral": "number", "FirstLiteralToken": "number", "StringLiteral": "string",
+}
 DECORATED_STATE = ["State", "Prop", "Link", "StorageProp", "StorageLink", "Provide", "Consume", "ObjectLink", "LocalStorageLink", "LocalStorageProp", "Local"]
 
 
@@ -47,8 +52,19 @@ def literal_type(text: Column) -> Column:
 
 
 def type_from_name(name: Column) -> Column:
-    """A type annotation's rendering: primitives as they are, anything else an unresolved reference to its name."""
-    return F.when(name.isin(PRIMITIVES), name).otherwise(F.concat(F.lit("ref "), name))
+    """A type annotation's rendering: primitives as they are, a regular expression its class, anything else an unresolved reference to its name."""
+    return F.when(name.isin(PRIMITIVES), name).when(name == "RegularExpression", "class RegExp").otherwise(F.concat(F.lit("ref "), name))
+
+
+def keyword_name(kind: Column) -> Column:
+    """The type that a syntax kind stands for: ``NumberKeyword`` is number; any other kind is itself."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KEYWORDS.items() for x in kv]), kind), kind)
+
+
+def element_type(members: Column) -> Column:
+    """The type of an array literal's elements: what all of them are, unknown if they differ or there is none."""
+    kinds = F.array_distinct(members)
+    return F.when(F.size(kinds) == 1, kinds[0]).otherwise("unknown")
 
 
 def negated(op: Column) -> Column:

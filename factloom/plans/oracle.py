@@ -131,6 +131,27 @@ ORACLES = {
     "content_hash_changes": "SELECT source, sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1, 2",
     "conversation_def_use": """SELECT conv_id, use, def FROM (SELECT conv_id, turn AS use, role = 'user' AS is_def,
         last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def FROM conversations) WHERE NOT is_def""",
+    "string_rules": """WITH p AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
+        SELECT p_partkey, array_to_string(w[1:2], chr(10)) AS first_lines, concat('/a/', CASE WHEN len(w) > 1 THEN concat(array_to_string(w[1:len(w) - 1], '/'), '/') ELSE '' END, 'x/', CAST(p_partkey AS VARCHAR)) AS path,
+          concat(w[1], '|', CAST(p_partkey AS VARCHAR), '|m') AS parts, 0 AS no_parts, w[1] AS bracket_spaced, w[1] AS bracket, concat(CASE WHEN p_size % 2 = 0 THEN 'get ' ELSE 'set ' END, w[1]) AS accessor, p_size AS api, 9 AS no_api,
+          CAST(list_sum(list_transform(string_split(p_brand, ''), lambda c: ord(c))) + 233 + 55357 + 56832 AS BIGINT) AS code_sum, sha256(p_type) AS hash, w[1] AS stem FROM p""",
+    "type_rules": """WITH p AS (SELECT p_partkey, p_size, ['number', 'RegularExpression', 'Shop', 'never'][p_partkey % 4 + 1] AS t FROM part)
+        SELECT p_partkey, ['>=', '<', '!==', '==', NULL][p_partkey % 5 + 1] AS negated, CASE t WHEN 'RegularExpression' THEN 'class RegExp' WHEN 'Shop' THEN 'ref Shop' ELSE t END AS "type",
+          ['number', 'string', 'void', 'ArrayType'][p_partkey % 4 + 1] AS "keyword", concat('(', t, ')', repeat('[]', p_size % 3)) AS "array", CASE t WHEN 'number' THEN 'number' ELSE concat(t, '|number') END AS "either",
+          ['0', concat(chr(39), chr(39)), 'false', 'null', 'undefined'][p_partkey % 5 + 1] AS "value", CASE t WHEN 'number' THEN 'number' ELSE 'unknown' END AS "element" FROM p""",
+    "import_files": """WITH p AS (SELECT concat('src/a/f', CAST(p_partkey AS VARCHAR), '.ts') AS path, p_partkey % 6 AS k, string_split(p_name, ' ')[1] AS w FROM part)
+        SELECT path, [concat('./', w), concat('../../lib/', w, '.ts'), concat('@ohos.', w), 'kit', concat('@shop/core/', w), w][k + 1] AS from_spec, ['own', 'own', 'system', 'sdk', 'dependency', 'unknown'][k + 1] AS kind,
+          [concat('src/a/', w), concat('lib/', w), concat('@ohos.', w), 'kit', concat('libs/core/', w), NULL][k + 1] AS file FROM p""",
+    "governing_packages": """SELECT concat('r', CAST(n_regionkey AS VARCHAR), '/n', CAST(n_nationkey AS VARCHAR), '/main.ts') AS path,
+        concat('oh-package.json5', CASE WHEN n_regionkey % 2 = 0 THEN concat(',r', CAST(n_regionkey AS VARCHAR), '/oh-package.json5') ELSE '' END,
+          CASE WHEN n_nationkey % 3 = 0 THEN concat(',r', CAST(n_regionkey AS VARCHAR), '/n', CAST(n_nationkey AS VARCHAR), '/oh-package.json5') ELSE '' END) AS packages FROM nation""",
+    "original_paths": "SELECT concat('f', CAST(p_partkey AS VARCHAR), '.ts') AS path, concat('f', CAST(p_partkey AS VARCHAR), CASE WHEN p_size % 2 = 0 THEN '.ets' ELSE '.ts' END) AS original FROM part",
+    "changed_files": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 10 = 5",
+    "overriding_methods": f"""WITH RECURSIVE r AS ({DESC}), b AS (SELECT DISTINCT class_id, concat(name, '(number)') AS sub_sig FROM f_method),
+        d AS (SELECT class_id, sub_sig FROM b UNION SELECT x.sup, b.sub_sig FROM b JOIN f_extends x ON x.sub = b.class_id)
+        SELECT d.class_id, d.sub_sig, b.class_id AS target FROM d JOIN r ON r.anc = d.class_id JOIN b ON b.class_id = r.des AND b.sub_sig = d.sub_sig""",
+    "source_positions": """SELECT concat('f', CAST(s_suppkey AS VARCHAR)) AS path, g.* FROM supplier CROSS JOIN (VALUES (1, 0, 1, 1), (1, 4, 1, 1), (1, 5, 2, 3), (1, 11, 0, 0), (2, 2, 3, 4), (3, 1, 0, 0)) g(line, col, original_line, original_col)""",
+    "json5_values": "SELECT p_partkey, p_brand AS name, CAST(p_size AS VARCHAR) AS size, concat(CAST(p_partkey AS VARCHAR), '.50') AS dep, 'true' AS on FROM part",
     "transpile_statistics": "SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, max(length(props)) AS longest FROM events GROUP BY 1",
 }
 

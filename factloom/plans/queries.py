@@ -9,6 +9,7 @@ from ..functions import text as txt
 from ..functions import types as ty
 from ..operators import callgraph as cg
 from ..operators import cfg, ifds, pointsto, resolve, viewtree
+from ..sources import project
 from ..tables import durable
 from .encoders import fact, sql
 
@@ -276,6 +277,99 @@ def transpile_statistics(s, d):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"), F.max(F.length("props")).alias("longest"))
 
 
+KINDS = ["NumberKeyword", "StringKeyword", "VoidKeyword", "ArrayType"]
+TYPE_NAMES = ["number", "RegularExpression", "Shop", "never"]
+
+
+@query
+def string_rules(s, d):
+    """Rules over names, paths and versions, on texts made of parts."""
+    p = s.read.parquet(f"{d}/part.parquet").withColumn("w", F.split("p_name", " ")).withColumn("k", F.col("p_partkey").cast("string"))
+    first, size = F.col("w")[0], F.col("p_size").cast("string")
+    path = F.concat(F.lit("/a//"), F.replace("p_name", F.lit(" "), F.lit("\\")), F.lit("/../x/./"), F.col("k"))
+    return p.select(
+        "p_partkey", txt.first_lines(F.replace("p_name", F.lit(" "), F.lit("\n")), 2).alias("first_lines"), txt.posix_path(path).alias("path"),
+        F.array_join(txt.invocation_parts(F.concat(first, F.lit("."), F.col("k"), F.lit(".m()"))), "|").alias("parts"), F.size(txt.invocation_parts(F.col("p_name"))).alias("no_parts"),
+        txt.last_bracket(F.concat(F.lit("x<y<"), first, F.lit(" ()>"))).alias("bracket_spaced"), txt.last_bracket(F.concat(F.lit("x<y<"), first, F.lit("()>"))).alias("bracket"),
+        txt.accessor_name(F.concat(F.when(F.col("p_size") % 2 == 0, "Get-").otherwise("Set-"), first)).alias("accessor"), txt.api_version(F.concat(F.lit("4.0("), size, F.lit(")"))).alias("api"), txt.api_version(size).alias("no_api"),
+        txt.char_code_sum(F.concat("p_brand", F.lit("é😀"))).alias("code_sum"), txt.content_hash(F.col("p_type")).alias("hash"), txt.without_extension(F.concat(first, F.when(F.col("p_size") % 2 == 0, ".d.ts").otherwise(".ts"))).alias("stem"),
+    )
+
+
+@query
+def type_rules(s, d):
+    """Rules over types and operators, chosen by parts."""
+    p = s.read.parquet(f"{d}/part.parquet")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % len(xs) + 1).cast("int"))
+    name = pick(TYPE_NAMES)
+    return p.select(
+        "p_partkey", ty.negated(pick(["<", ">=", "===", "!=", "+"])).alias("negated"), ty.type_from_name(name).alias("type"), ty.keyword_name(pick(KINDS)).alias("keyword"), ty.array_type(name, F.col("p_size") % 3).alias("array"),
+        ty.union_type(F.array(name, F.lit("number"), name)).alias("either"), ty.default_constant(pick(["number", "string", "boolean", "null", "Shop"])).alias("value"), ty.element_type(F.array(name, F.lit("number"))).alias("element"),
+    )
+
+
+@query
+def import_files(s, d):
+    """Where imports lead: relative ones, the system's, named SDKs, and dependencies, of which the last declared counts."""
+    p = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("src/a/f"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), F.split("p_name", " ")[0].alias("w"))
+    spec = F.element_at(F.array(F.concat(F.lit("./"), F.col("w")), F.concat(F.lit("../../lib/"), F.col("w"), F.lit(".ts")), F.concat(F.lit("@ohos."), F.col("w")), F.lit("kit"), F.concat(F.lit("@shop/core/"), F.col("w")), F.col("w")), (F.col("p_partkey") % 6 + 1).cast("int"))
+    packages = s.createDataFrame([("@shop/core", "old/core", 1), ("@shop/core", "libs/core", 2), ("other", "x", 3)], "name string, target string, ord int")
+    imports = p.select("path", spec.alias("from_spec"))
+    return project.import_files(imports, packages, s.createDataFrame([("kit",)], "name string"))
+
+
+@query
+def governing_packages(s, d):
+    """The package files above each source file, on folders made of nations and regions."""
+    n = s.read.parquet(f"{d}/nation.parquet")
+    r = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    files = n.select(F.concat(r, F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit("/main.ts")).alias("path")).unionByName(n.select(F.concat(r, F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit("/hvigorfile.ts")).alias("path")))
+    packages = n.where("n_regionkey % 2 = 0").select(F.concat(r, F.lit("/oh-package.json5")).alias("path")).distinct().unionByName(n.where("n_nationkey % 3 = 0").select(F.concat(r, F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit("/oh-package.json5")).alias("path")))
+    packages = packages.unionByName(s.createDataFrame([("oh-package.json5",)], "path string"))
+    return project.governing_packages(files, packages).select("path", F.array_join("packages", ",").alias("packages"))
+
+
+@query
+def original_paths(s, d):
+    """What generated files were made of: parts of even size have a map."""
+    p = s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), "p_size")
+    return project.original_paths(p.select("path").unionByName(p.where("p_size % 2 = 0").select(F.concat("path", F.lit(".map")).alias("path"))))
+
+
+@query
+def changed_files(s, d):
+    """Documents whose text is not the one that was known of them: every third was another."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("code"), "doc_id")
+    known = docs.select("path", F.when(F.col("doc_id") % 3 == 0, F.sha2(F.concat("code", F.lit("x")), 256)).otherwise(F.sha2("code", 256)).alias("hash"))
+    return project.changed_files(docs, known.where("path not like '%5'")).select(F.col("path").cast("long").alias("doc_id"))
+
+
+@query
+def overriding_methods(s, d):
+    """Methods of one sub-signature in a class and below it: suppliers and nations declare the brands of their lines."""
+    m = fact(s, d, "f_method").select("class_id", F.concat("name", F.lit("(number)")).alias("sub_sig"), F.lit(False).alias("is_abstract"))
+    nation = fact(s, d, "f_extends").where("sub like 'S%'").select(F.col("sub").alias("class_id"), F.col("sup"))
+    up = m.join(nation, "class_id").select(F.col("sup").alias("class_id"), "sub_sig", F.lit(True).alias("is_abstract")).distinct()
+    return cg.overriding(m.unionByName(up), cg.descendants(fact(s, d, "f_class"), fact(s, d, "f_extends")))
+
+
+@query
+def source_positions(s, d):
+    """Positions of generated text through decoded maps: two mappings a line, at columns 4 and 10."""
+    p = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("path"))
+    maps = p.select("path", F.lit("IAAC,MACE;IACC").alias("mappings"))
+    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("line"), F.lit(b).alias("col")) for a, b in ((1, 0), (1, 4), (1, 5), (1, 11), (2, 2), (3, 1))])).alias("x")
+    return project.original_positions(p.select("path", asked).select("path", "x.*"), maps)
+
+
+@query
+def json5_values(s, d):
+    """Names and versions in package texts with comments, loose keys and trailing commas."""
+    p = s.read.parquet(f"{d}/part.parquet")
+    text = F.concat(F.lit("// "), F.col("p_brand"), F.lit("\n{name: '"), F.col("p_brand"), F.lit("', \"size\": "), F.col("p_size").cast("string"), F.lit(", deps: {'a': "), F.col("p_partkey").cast("string"), F.lit(".50,}, /* x */ on: true,}"))
+    return p.select("p_partkey", text.alias("text")).mapInArrow(project.read_packages("text", ["name", "size", "deps.a", "on"]), "p_partkey long, name string, size string, `deps.a` string, on string").withColumnRenamed("deps.a", "dep")
+
+
 def queries() -> dict:
     from .programs import QUERIES as programs
 

@@ -199,6 +199,23 @@ def read_json5(text: str):
     return found if isinstance(found, dict) else None
 
 
+def read_packages(text: str, keys: list[str]):
+    """A function for ``mapInArrow`` that replaces the JSON5 text in column ``text``, the last, by the values at dotted ``keys``, as text, null where there is none."""
+
+    def at(value, key: str) -> str | None:
+        for k in key.split("."):
+            value = value.get(k) if isinstance(value, dict) else None
+        return value if value is None or isinstance(value, str) else json.dumps(value)
+
+    def run(batches):
+        for batch in batches:
+            found = [read_json5(t) if t is not None else None for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            others = [n for n in batch.schema.names if n != text]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in others], *[pa.array([at(v, k) for v in found], pa.string()) for k in keys]], [*others, *keys])
+
+    return run
+
+
 # --- source maps
 DIGITS = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
 
