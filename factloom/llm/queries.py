@@ -84,8 +84,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_MODEL))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the mix no draw decides: sizes and targets, to a thousandth of a word."""
+    from .mixing import mix_documents
+
+    return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"mix_targets": mix_targets}
 
 
 def oracle_sql() -> dict[str, str]:

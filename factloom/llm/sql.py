@@ -93,7 +93,18 @@ k AS (SELECT a, count(*) AS n FROM both_ GROUP BY 1)
 SELECT vec_id, coalesce(k.n, 0) AS n_links, component AS component_id, vec_id = component AS kept FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN k ON vec_id = k.a
 """
 
+# every source's turn at stopping at its cap: the level with all of lesser ratio stopped; the first that stays below its own cap holds
+TARGETS = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1),
+w AS (SELECT source, n, 3.0 * n AS cap, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+l AS (SELECT a.source, a.cap / a.w AS ratio, ((SELECT sum(n) FROM w) - coalesce((SELECT sum(b.cap) FROM w b WHERE b.cap / b.w < a.cap / a.w), 0)) / (SELECT sum(b.w) FROM w b WHERE b.cap / b.w >= a.cap / a.w) AS level FROM w a),
+h AS (SELECT min_by(level, ratio) AS level FROM l WHERE level <= ratio)
+SELECT d.doc_id, size, w.n AS source_size, round(least(cap, coalesce((SELECT level FROM h) * w.w, cap)), 3) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+"""
+
 ORACLES = {
+    "mix_targets": TARGETS,
     "op1_substring_dedup": OP1,
     "op4_minhash_dedup": OP4,
     "op5_line_dedup": OP5,
