@@ -66,3 +66,9 @@ def next_position(queries: DataFrame, marks: DataFrame, key: str, at: str, value
     w = Window.partitionBy(key).orderBy(F.col(at).desc(), "__q").rowsBetween(Window.unboundedPreceding, 0)
     both = q.select(*queries.columns, value, "__q").unionByName(m.select(*queries.columns, value, "__q"))
     return both.withColumn("__v", F.last(F.when(F.col("__q") == 0, F.col(value)), ignorenulls=True).over(w)).where("__q = 1").drop("__q", value).withColumnRenamed("__v", value)
+
+
+def fallback_lookup(asked: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+    """``asked`` with ``value`` from ``first`` and, where that has none, from ``second``: the project before its SDKs."""
+    a, b = first.select(key, F.col(value).alias("__a")), second.select(key, F.col(value).alias("__b"))
+    return asked.join(a, key, "left").join(b, key, "left").withColumn(value, F.coalesce("__a", "__b")).drop("__a", "__b")

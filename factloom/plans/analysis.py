@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import callgraph, cfg, resolve
 from ..operators.fixpoint import closure, fixpoint
 from ..sources.lowering import DEFAULT_CLASS, DEFAULT_METHOD
+from ..sources.printer import dump
 from ..sources.project import Program, import_target
 from ..tables import durable
 
@@ -82,6 +83,16 @@ def visible_entities(program: Program) -> DataFrame:
     return program.tables["visible"]
 
 
+def visible_from_class(program: Program) -> DataFrame:
+    """(class_sig, kind, name, entity): the variables and static fields that code of a class can name, those of classes in sight by dotted names."""
+    home = homes(program).where("not is_default").select("path", "class_sig", F.col("home").alias("scope"))
+    seen = home.join(visible_entities(program), ["path", "scope"])
+    variables = seen.where("kind = 'local'").select("class_sig", F.lit("variable").alias("kind"), "name", "entity")
+    static = program["field"].where("is_static").select(F.col("class_sig").alias("entity"), F.col("name").alias("field"), F.col("sig"))
+    fields = seen.where("kind = 'class'").join(static, "entity").select("class_sig", F.lit("field").alias("kind"), F.concat_ws(".", "name", "field").alias("name"), F.col("sig").alias("entity"))
+    return variables.unionByName(fields)
+
+
 def class_names(program: Program) -> DataFrame:
     """(path, scope, name, class_sig): what a class name means in each scope."""
     return visible_entities(program).where("kind = 'class'").select("path", "scope", "name", F.col("entity").alias("class_sig"))
@@ -198,6 +209,11 @@ def dot(program: Program) -> DataFrame:
     return body.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("method_sig", cluster.alias("c")))), lambda x: x["c"]), "\n").alias("all")).select("path", F.concat(F.lit("digraph {\n"), "all", F.lit("\n}\n")).alias("dot"))
 
 
+def dump_dot(program: Program, out: str) -> None:
+    """Write the graphs of :func:`dot`, a folder a source file."""
+    dump(dot(program).select("path", F.col("dot").alias("text")), out)
+
+
 def listing(program: Program) -> DataFrame:
     """(path, ord, line_text): classes, fields and methods of each file as source-like text, by line."""
     c = program["class"].where(F.col("name") != DEFAULT_CLASS)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cfg, ssa, statements
+from ..operators import cfg, resolve, ssa, statements, structure
 from ..sources.printer import print_files
 from ..sources.project import Program, parse_files
 from ..tables import durable
@@ -165,6 +165,28 @@ function main() {
   Cell.last = y;
   let u = Cell.last;
 }"""},
+    "body": {"body{k}.ts": """
+function b{k}(n, m) {
+  let s = 0;
+  while (n > 0) {
+    if (n == 7) { break; }
+    if (m) { s = s + n; } else { run(s); }
+    n = n - m;
+  }
+  for (let i = 0; i < 3; i++) { if (i == m) continue; s = i; }
+  switch (m) { case 1: s = 1; break; default: s = 2; }
+  if (s < 4) { s = 5; }
+  return s;
+}"""},
+    "global": {
+        "glob{k}.ts": """
+export let top = 1;
+let low = 2;
+export namespace V { export let inner = 3; let low = 4; export class H { static z = 1; m() { return low; } } }""",
+        "user{k}.ts": """
+import { top as t, V } from './glob{k}';
+let own = t;""",
+    },
     "local": {"local{k}.ts": """
 class T { }
 function main(p) {
@@ -589,3 +611,149 @@ def program_changed_statements(p):
     near = done.join(at.select("method", "block", F.col("idx").alias("from")), ["method", "block"]).where("idx between from and from + 2")
     text = F.concat(F.col("def"), F.lit(" = "), F.when(F.col("text") == "d = 9", "9").otherwise(F.get("args", F.lit(0))))
     return near.select(text.alias("text"), F.array_join("uses", ",").alias("uses"))
+
+
+def shape(p: Program) -> tuple[DataFrame, DataFrame, DataFrame]:
+    mine = named(p).where("method not like '%DEFAULT%'").select("path", "method_sig")
+    return tuple(p[t].join(mine, ["path", "method_sig"], "left_semi") for t in ("block", "edge", "stmt"))
+
+
+BODY = """s = 0;
+while (n > 0) {
+  if (n == 7) {
+    break;
+  }
+  if (m) {
+    s = s + n;
+  } else {
+    run(s);
+  }
+  n = n - m;
+}
+i = 0;
+while (i < 3) {
+  if (i != m) {
+    s = i;
+  }
+  i = i + 1;
+}
+switch (m) {
+  case 1:
+    s = 1;
+    break;
+  default:
+    s = 2;
+    break;
+}
+if (s < 4) {
+  s = 5;
+}
+return s;"""
+
+
+@program_query("body", "path body", [("body{k}.ts", BODY)])
+def program_bodies(p):
+    return structure.bodies(*shape(p))
+
+
+@program_query("body", "text kind", [
+    ("if n <= 0", "while"), ("if n != 7", "if"), ("goto", "break"), ("if m == 0", "if_else"), ("if i >= 3", "for"), ("goto", "continue"), ("if i != m", "if_else"), ("if s >= 4", "if"), ("goto", "break"),
+])
+def program_block_kinds(p):
+    last = p["stmt"].groupBy("path", "method_sig", F.col("block").cast("long").alias("block")).agg(F.max_by("text", "idx").alias("text"))
+    return structure.block_types(*shape(p)).where("kind <> 'normal'").join(last, ["path", "method_sig", "block"])
+
+
+@program_query("label", "text depth", [
+    (f"m = parameter0: unknown", 0), ("if m <= 0", 1), ("m = m - 1", 2), ("goto", 3), ("if m <= 5", 3), ("switch(m) {1, 2, default}", 2), ("m = 10", 3), ("m = 20", 3), ("m = 30", 3), ("return m", 3),
+])
+def program_dominator_tree(p):
+    first = p["stmt"].where("idx = 0").select("path", "method_sig", F.col("block").cast("long").alias("block"), "text")
+    return structure.dominator_order(*shape(p)).join(first, ["path", "method_sig", "block"])
+
+
+@program_query("global", "path scope name entity", [
+    ("glob{k}.ts", "@shop/glob{k}: ", "top", "@shop/glob{k}: #top"), ("glob{k}.ts", "@shop/glob{k}: ", "low", "@shop/glob{k}: #low"), ("glob{k}.ts", "@shop/glob{k}: ", "V.inner", "@shop/glob{k}: V#inner"), ("glob{k}.ts", "@shop/glob{k}: ", "V.low", "@shop/glob{k}: V#low"),
+    ("glob{k}.ts", "@shop/glob{k}: V", "top", "@shop/glob{k}: #top"), ("glob{k}.ts", "@shop/glob{k}: V", "low", "@shop/glob{k}: V#low"), ("glob{k}.ts", "@shop/glob{k}: V", "inner", "@shop/glob{k}: V#inner"), ("glob{k}.ts", "@shop/glob{k}: V", "V.inner", "@shop/glob{k}: V#inner"), ("glob{k}.ts", "@shop/glob{k}: V", "V.low", "@shop/glob{k}: V#low"),
+    ("user{k}.ts", "@shop/user{k}: ", "own", "@shop/user{k}: #own"), ("user{k}.ts", "@shop/user{k}: ", "t", "@shop/glob{k}: #top"), ("user{k}.ts", "@shop/user{k}: ", "V.inner", "@shop/glob{k}: V#inner"), ("user{k}.ts", "@shop/user{k}: ", "V.low", "@shop/glob{k}: V#low"),
+])
+def program_variables(p):
+    return analysis.visible_entities(p).where("kind = 'local'")
+
+
+@program_query("global", "class_sig kind name entity", [
+    *[("@shop/glob{k}: V.H", "variable", n, "@shop/glob{k}: " + e) for n, e in (("top", "#top"), ("low", "V#low"), ("inner", "V#inner"), ("V.inner", "V#inner"), ("V.low", "V#low"))],
+    ("@shop/glob{k}: V.H", "field", "H.z", "@shop/glob{k}: V.H.z"), ("@shop/glob{k}: V.H", "field", "V.H.z", "@shop/glob{k}: V.H.z"),
+])
+def program_class_scope(p):
+    return analysis.visible_from_class(p)
+
+
+DOT = r"""digraph {
+  subgraph "cluster_{a}" {
+    label="{a}";
+    n{x}_0 [label="this = this: @shop/loop{k}: _DEFAULT_CLASS\nreturn"];
+  }
+  subgraph "cluster_{b}" {
+    label="{b}";
+    n{y}_0 [label="n = parameter0: unknown\nthis = this: @shop/loop{k}: _DEFAULT_CLASS\ns = 0\ni = 0"];
+    n{y}_1 [label="if i >= n"];
+    n{y}_2 [label="if i != 3"];
+    n{y}_3 [label="return s"];
+    n{y}_4 [label="i = i + 1"];
+    n{y}_5 [label="goto"];
+    n{y}_6 [label="s = s + i"];
+    n{y}_0 -> n{y}_1;
+    n{y}_1 -> n{y}_2;
+    n{y}_1 -> n{y}_3;
+    n{y}_2 -> n{y}_5;
+    n{y}_2 -> n{y}_6;
+    n{y}_4 -> n{y}_1;
+    n{y}_5 -> n{y}_4;
+    n{y}_6 -> n{y}_4;
+  }
+}
+"""
+
+
+@program_query("loop", "path dot", [("loop{k}.ts", DOT)])
+def program_dot(p):
+    return analysis.dot(p)
+
+
+# the nodes of a method are named after a digest of its signature
+_HASHED = "substring(sha256(replace('{}', '{{k}}', CAST(s_suppkey AS VARCHAR))), 1, 24)"
+_SIGS = [DEFAULT % "loop" + "._DEFAULT_METHOD()", DEFAULT % "loop" + ".f{k}(unknown)"]
+ORACLES["program_dot"] = ORACLES["program_dot"].replace("replace(g.dot, '{k}', CAST(s_suppkey AS VARCHAR)) AS dot", "replace(replace(replace(replace(replace(g.dot, '{a}', '%s'), '{b}', '%s'), '{x}', %s), '{y}', %s), '{k}', CAST(s_suppkey AS VARCHAR)) AS dot" % (*_SIGS, *(_HASHED.format(x) for x in _SIGS)))
+
+
+@program_query("pointer", "source target", [
+    ("main.$temp0", "main.c"), ("main.$temp1", "main.x"), ("main.x", "put.v"), ("put.v", "#0.held"), ("#0.held", "get.$temp0"), ("get.$temp0", "main.g"), ("go.$temp0", "main.r"), ("main.$temp2", "main.y"), ("main.y", "same.v"), ("same.v", "main.s"), ("go.$temp0", "go.y"), ("go.y", "main.t"),
+])
+def program_pointer_flow(p):
+    flow = pointers.pointer_analysis(p, _entries(p))["flow"]
+    # the object whose field is meant is told by its class alone, there is one of each in main
+    show = lambda c: F.when(F.startswith(c, F.lit("\n#")), F.concat(F.lit("#0."), F.regexp_extract(c, r"([^.]+)$", 1))).otherwise(F.concat_ws(".", F.regexp_extract(c, r"\.([A-Za-z_$0-9]+)\([^()]*\)\n", 1), F.split(c, "\n")[1]))
+    return flow.select(F.regexp_extract("src", r"pointer(\d+)", 1).alias("k"), show(F.col("src")).alias("source"), show(F.col("dst")).alias("target")).distinct()
+
+
+def sdk_fallback(s: SparkSession, d: str) -> DataFrame:
+    """Names looked up in the project, then in an SDK: brands that a part of size 1 has, else one of any size."""
+    p = s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("brand"), "p_partkey", "p_size")
+    own, sdk = (t.groupBy("brand").agg(F.min("p_partkey").alias("found")) for t in (p.where("p_size = 1"), p.where("p_size > 5")))
+    return resolve.fallback_lookup(p.select("brand").distinct(), own, sdk, "brand", "found")
+
+
+QUERIES["sdk_fallback"] = sdk_fallback
+ORACLES["sdk_fallback"] = "SELECT p_brand AS brand, coalesce(min(p_partkey) FILTER (p_size = 1), min(p_partkey) FILTER (p_size > 5)) AS found FROM part GROUP BY 1"
+
+
+def program_own_methods(s: SparkSession, d: str) -> DataFrame:
+    """Methods of the project's own files: libraries are taken for an SDK."""
+    files = source_files(s, d, "calls")
+    p = Program(parse_files(files, PROJECT), files.where("path like 'lib%'").select("path"))
+    return p.own("method").where("name not like '%DEFAULT%'").select("path", "name")
+
+
+QUERIES["program_own_methods"] = program_own_methods
+ORACLES["program_own_methods"] = golden(["path", "name"], [("app{k}.ts", "main"), ("app{k}.ts", "side")])

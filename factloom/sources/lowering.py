@@ -21,7 +21,7 @@ SCHEMAS = {
     "field": "sig string, class_sig string, name string, type string, is_static boolean, modifiers array<string>, decorators array<string>, initializer string, ord int, line int",
     "import": "clause string, kind string, from_spec string, name_before_as string, line int",
     "export": "clause string, kind string, from_spec string, name_before_as string, is_default boolean, line int",
-    "block": "method_sig string, block int",
+    "block": "method_sig string, block int, loop string",
     "edge": "method_sig string, src int, dst int, ord int",
     "return": "method_sig string, block int, idx int, value string",
     # the right side of an assignment, or what a statement works on: its form, its member, operator or type, and its operands
@@ -58,6 +58,8 @@ class Body:
         self.calls: list[dict] = []
         self.allocs: list[dict] = []
         self.returned: list[dict] = []
+        #: Blocks that loops begin with, and whether a step or a test alone leads round.
+        self.heads: dict[int, str] = {}
 
     # --- blocks
     def new_block(self) -> int:
@@ -429,6 +431,7 @@ class Body:
         label, self.label = self.label, None
         head, inside, after = self.new_block(), self.new_block(), self.new_block()
         again = self.new_block() if step else head
+        self.heads[head] = "for" if step else "while"
         self.go(self.at, head)
         self.enter(head)
         if test is None:
@@ -671,7 +674,7 @@ class Facts:
         b.run(n.value)
         b.finish(n.line)
         for block, number in b.order.items():
-            self.add("block", method_sig=sig, block=number)
+            self.add("block", method_sig=sig, block=number, loop=b.heads.get(block))
             for i, s in enumerate(b.blocks[block]):
                 self.add("stmt", method_sig=sig, block=number, idx=i, **s)
         count: dict[int, int] = {}
