@@ -161,24 +161,22 @@ def least_agreement(percent: int, t: int = CHECKS) -> int:
 def stragglers(members: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK, block_bytes: int = 16 << 20) -> DataFrame:
     """Links (a, b) between members of a bucket in different components, a spanning forest of them for each block.
 
-    ``members`` are (band, node, comp). The rest of a bucket, all that is not in its largest component, is compared with the whole
+    ``members`` are (band, node, n, comp), n being the size of the node's set. The rest of a bucket, all that is not in its largest component, is compared with the whole
     bucket; both are cut into blocks of bounded rows and bytes and a task compares one block with one other. There sketches are
     compared first, many at once, and only pairs that agree often enough have their sets merged.
     """
-    by_comp = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = by_comp.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
-    open_ = main.where("parts > 1 and size > 2").select("band", F.col("main.comp").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("rest"))
-    rows = members.join(open_, "band")
+    by_comp = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    main = by_comp.groupBy("band").agg(F.max(F.struct("c", "comp", "w")).alias("main"), F.sum("c").alias("size"), F.sum("w").alias("words"), F.count(F.lit(1)).alias("parts"))
+    blocks = lambda n, words: F.greatest(F.ceil(n / block_rows), F.ceil(8 * words / block_bytes), F.lit(1)).cast("int")
+    n_left, n_right = blocks(F.col("size") - F.col("main.c"), F.col("words") - F.col("main.w")), blocks(F.col("size"), F.col("words"))
+    open_ = main.where("parts > 1 and size > 2").select("band", F.col("main.comp").alias("main"), n_left.alias("nl"), n_right.alias("nr"))
+    spot = F.xxhash64("node")
+    placed = [(F.col("comp") != F.col("main")).alias("left"), "nl", "nr", F.pmod(spot, F.col("nl")).cast("int").alias("lb"), F.pmod(spot, F.col("nr")).cast("int").alias("rb")]
+    rows = members.join(open_, "band").select("band", "node", "comp", *placed)
     # buckets of other bands with the very same members are compared once
     same = rows.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.count(F.lit(1)).alias("n"))
     rows = durable(rows.join(same.groupBy("sign", "n").agg(F.min("band").alias("band")).select("band"), "band", "left_semi"), "stragglers")
     known = durable(sketched(sets.join(rows.select("node").distinct(), "node", "left_semi")), "sketches")
-    weighed = rows.join(known.groupBy("node").agg(F.sum("size").alias("words")), "node")
-    total = weighed.groupBy("band").agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("words")).otherwise(0)).alias("rest_words"))
-    blocks = lambda n, words: F.greatest(F.ceil(F.col(n) / block_rows), F.ceil(8 * F.col(words) / block_bytes), F.lit(1)).cast("int")
-    n_left, n_right = blocks("rest", "rest_words"), blocks("size", "all_words")
-    spot = F.xxhash64("node")
-    rows = weighed.join(total, "band").select("band", "node", "comp", (F.col("comp") != F.col("main")).alias("left"), n_left.alias("nl"), n_right.alias("nr"), F.pmod(spot, n_left).cast("int").alias("lb"), F.pmod(spot, n_right).cast("int").alias("rb"))
     left = rows.where("left").select("band", "node", "comp", F.lit(0).alias("side"), "left", "lb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"))
     right = rows.select("band", "node", "comp", F.lit(1).alias("side"), "left", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), "rb")
     both = left.unionByName(right).join(known, "node")
@@ -227,9 +225,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     sign = durable(signatures(keyed, k, bands, rows), "signatures")
     full = sign.where("n > 0 and doc_id is not null")
     classes = durable(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "r1", "r2", "bands")).alias("one")).select("k1", "k2", "n", "one.*"), "classes")
-    reps = classes.select(F.col("doc_id").alias("node"), "r1", "r2", "bands")
+    reps = classes.select(F.col("doc_id").alias("node"), "n", "r1", "r2", "bands")
     at = F.sequence(F.lit(0), F.lit(bands - 1))
-    banded = reps.select("node", F.explode(F.transform(at, lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * 8 + 1, F.lit(8))))).alias("band")).distinct()
+    banded = reps.select("node", "n", F.explode(F.transform(at, lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * 8 + 1, F.lit(8))))).alias("band")).distinct()
     lead = banded.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "lead")
     members = durable(banded.join(lead, "band"), "members")
     wanted = members.select("node").distinct()
@@ -246,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     links = durable(links.unionByName(verified(more, sets, percent)), "links")
     comp = durable(connected_components(links), "components")
     old += [links, comp]
-    links = links.unionByName(stragglers(labelled(members.select("band", "node"), comp), sets, percent))
+    links = links.unionByName(stragglers(labelled(members.select("band", "node", "n"), comp), sets, percent))
     comp = durable(connected_components(links), "components")
     owner = classes.select("k1", "k2", "n", F.col("doc_id").alias("node")).join(comp, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
     drop(sets, members, *old)
