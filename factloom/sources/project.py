@@ -14,6 +14,8 @@ from .lowering import SCHEMAS, facts_of
 # Folders that hold no source of the project, and its package files.
 SKIPPED = ["oh_modules", "node_modules", "ets-loader"]
 PACKAGE_FILE, BUILD_SCRIPT = "oh-package.json5", "hvigorfile.ts"
+# How imports of the system's libraries begin.
+SYSTEM_IMPORTS = ["@ohos.", "@kit."]
 
 
 # The keys of a project's configuration that are read, and their meaning when absent.
@@ -121,14 +123,14 @@ def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
 def import_files(imports: DataFrame, packages: DataFrame | None = None, sdks: DataFrame | None = None) -> DataFrame:
     """(path, from_spec, kind, file): where each import of (path, from_spec) leads, without extension.
 
-    Relative ones lead to the project's own files, ``@ohos.`` and ``@kit.`` ones to the system's SDK, names of (name) ``sdks`` to those, and
+    Relative ones lead to the project's own files, those of ``SYSTEM_IMPORTS`` to the system's SDK, names of (name) ``sdks`` to those, and
     what starts with a dependency (name, target) of ``packages`` to its target; of several dependencies the last of the order that they
     are declared in (ord) counts.
     """
     spark = imports.sparkSession
     base = imports.select("path", "from_spec").distinct().withColumn("own", import_target(F.col("path"), F.col("from_spec")))
     head = F.regexp_extract("from_spec", "^((?:@[^/]+/)?[^/]+)", 1)
-    base = base.withColumn("head", head).withColumn("system", F.col("from_spec").rlike(r"^@(ohos|kit)\."))
+    base = base.withColumn("head", head).withColumn("system", F.array_contains(F.array(*[F.startswith("from_spec", F.lit(x)) for x in SYSTEM_IMPORTS]), True))
     named = (sdks if sdks is not None else spark.createDataFrame([], "name string")).select(F.col("name").alias("head"), F.lit(True).alias("is_sdk")).distinct()
     given = packages if packages is not None else spark.createDataFrame([], "name string, target string, ord int")
     last = given.groupBy(F.col("name").alias("head")).agg(F.max_by("target", "ord").alias("target"))
