@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from itertools import chain, repeat
+from operator import mul
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,39 +51,58 @@ class PreTokens:
     Python, but not the tokenizer, takes for white space is one as a whole.
     """
 
-    def __init__(self, rules: tuple[str, list[str]] | None, most: int = 300_000):
+    def __init__(self, rules: tuple[str, list[str]] | None):
         import re
 
         import regex
 
         pattern, special = rules or ("", [])
         self.whole = rules is None or any(re.search(r"\s", s) for s in special)
-        self.cut, self.odd = regex.compile(pattern).findall, re.compile("[\x1c-\x1f]").search
+        odd = "[\x1c-\x1f]"
+        self.cut, self.odd = regex.compile(pattern).findall, re.compile(odd).search
         # a unit may hold a special string, or a part of one that lower-casing or composing would complete
-        self.special = re.compile("|".join(re.escape(s[:2]) for s in special)).search if special else (lambda _: None)
-        self.seen: dict[str, tuple[str, ...]] = {}
-        self.most = most
-
-    def of_unit(self, unit: str) -> tuple[str, ...]:
-        got = self.seen.get(unit)
-        if got is None:
-            if self.special(unit) or (not unit.isascii() and max(unit) > "ÿ"):
-                got = (unit,)
-            else:
-                got = tuple(self.cut(unit.lower()))
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen[unit] = got
-        return got
-
-    def of(self, text: str) -> Counter:
-        if self.whole or self.odd(text):
-            return Counter((text,))
-        out: Counter = Counter()
-        for unit, n in Counter(text.split()).items():
-            for piece in self.of_unit(unit):
-                out[piece] += n
-        return out
+        self.uncut = re.compile("|".join([odd, *(re.escape(s[:2]) for s in special)])).search
+
+    def units(self, text: str) -> list[str]:
+        return [text] if self.whole or self.odd(text) else text.split()
+
+    def of_unit(self, unit: str) -> list[str]:
+        if self.whole or self.uncut(unit) or (not unit.isascii() and max(unit) > "ÿ"):
+            return [unit]
+        return self.cut(unit.lower())
+
+
+class KnownPieces(dict):
+    """Units map to the tokens of those of their pre-tokens that ``known`` has; ``rare`` holds the others of units that have any."""
+
+    def __init__(self, cut: PreTokens, known: dict[str, int], most: int = 8 << 20):
+        super().__init__()
+        self.cut, self.known, self.most = cut, known, most
+        self.rare: dict[str, list[str]] = {}
+        self.held = 0
+
+    def __missing__(self, unit: str) -> int:
+        parts = self.cut.of_unit(unit)
+        sure = [self.known.get(p) for p in parts]
+        if None in sure:
+            self.rare[unit] = [p for p, n in zip(parts, sure) if n is None]
+        self.held += len(unit) + 16
+        value = self[unit] = sum(n for n in sure if n is not None)
+        return value
+
+    def of(self, text: str) -> tuple[int, dict[str, int]]:
+        """The tokens that are known of a text, and how often it has each pre-token that is not."""
+        if self.held > self.most:  # never inside a text: its rare ones are read at its end
+            self.clear()
+            self.rare.clear()
+            self.held = 0
+        count = Counter(self.cut.units(text))
+        sure, late = sum(map(mul, map(self.__getitem__, count), count.values())), {}
+        for unit in self.rare.keys() & count.keys():
+            n = count[unit]
+            for piece in self.rare[unit]:
+                late[piece] = late.get(piece, 0) + n
+        return sure, late
 
 
 def _load(path: str):
@@ -95,20 +117,34 @@ def _load(path: str):
     return tok
 
 
-def distinct_pre_tokens(docs: DataFrame, rules, flush: int = 200_000) -> DataFrame:
-    """(unit, n): in how many documents each pre-token occurs."""
+def distinct_pre_tokens(docs: DataFrame, rules, flush: int = 350_000, most: int = 64 << 20) -> DataFrame:
+    """(unit, n): how often each pre-token occurs.
+
+    A task counts units between white space and cuts each distinct one once a turn; a turn ends at ``flush`` of them or ``most``
+    characters of text.
+    """
 
     def run(batches):
-        cut, seen = PreTokens(rules), Counter()
+        cut, seen, held = PreTokens(rules), Counter(), 0
+
+        def turn():
+            out = {}
+            for unit, n in seen.items():
+                for piece in cut.of_unit(unit):
+                    out[piece] = out.get(piece, 0) + n
+            return pa.RecordBatch.from_pydict({"unit": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64())})
+
         for batch in batches:
             for text in batch.column(0):
                 if (t := text.as_py()) is not None:
-                    seen.update(cut.of(t).keys())
-                    if len(seen) >= flush:
-                        yield pa.RecordBatch.from_pydict({"unit": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+                    seen.update(cut.units(t))
+                    held += len(t)
+                    if len(seen) >= flush or held >= most:
+                        yield turn()
                         seen.clear()
+                        held = 0
         if seen:
-            yield pa.RecordBatch.from_pydict({"unit": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            yield turn()
 
     return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -141,26 +177,20 @@ def token_counts(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast((frame["unit"].to_pylist(), frame["pieces"].to_pylist()))
 
     def run(batches):
-        cut, pieces = PreTokens(rules), dict(zip(*known.value))
+        costs = KnownPieces(PreTokens(rules), dict(zip(*known.value)))
         for batch in batches:
-            who, units, counts, sizes = [], [], [], []
+            who, units, counts = [], [], []
             for i, text in enumerate(batch.column(3)):
-                sure, t = 0, text.as_py()
-                for unit, n in (cut.of(t) if t is not None else {}).items():
-                    p = pieces.get(unit)
-                    if p is not None:
-                        sure += p * n
-                        continue
-                    who.append(i)
-                    units.append(unit)
-                    counts.append(n)
-                    sizes.append(0)
-                who.append(i)
+                sure, late = costs.of(t) if (t := text.as_py()) is not None else (0, {})
+                who.extend(repeat(i, len(late) + 1))
+                units.extend(late)
+                counts.extend(late.values())
                 units.append(None)
                 counts.append(sure)
-                sizes.append(len((t or "").encode()))
-            at = pa.array(who, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(at) for j in range(3)], pa.array(units, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "r1", "r2", "unit", "n", "n_bytes"])
+            at, unit = pa.array(who, pa.int32()), pa.array(units, pa.string())
+            size = pa.compute.binary_length(batch.column(3)).fill_null(0).cast(pa.int64()).take(at)
+            size = pa.compute.if_else(unit.is_null(), size, pa.scalar(0, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(at) for j in range(3)], unit, pa.array(counts, pa.int64()), size], ["doc_id", "r1", "r2", "unit", "n", "n_bytes"])
 
     # a row without a unit is a document with what is known of it, the others await their pieces
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), "text")

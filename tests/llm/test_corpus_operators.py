@@ -250,6 +250,22 @@ def test_token_counts(docs, corpus, empty):
     assert token_counts.token_counts(empty, tokenizer_path(PRETOKEN_MODEL)).collect() == []
 
 
+def test_known_pieces_forget_between_texts_only(corpus):
+    from tokenizers import Tokenizer
+
+    tok, rules = Tokenizer.from_file(tokenizer_path(PRETOKEN_MODEL)), token_counts.split_rules(tokenizer_path(PRETOKEN_MODEL))
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    texts = [r[1] for r in corpus if r[1]] + ["rare-one, rare-two; rare-one! <|endoftext|> ÉTÉ ﬁn a\x1cb " * 2, "x" * 200 + " y"]
+    cut = token_counts.PreTokens(rules)
+    pieces = {p for t in texts for u in cut.units(t) for p in cut.of_unit(u)}
+    known = {p: size(p) for p in sorted(pieces)[::2]}
+    for most in (1, 1 << 23):
+        costs = token_counts.KnownPieces(token_counts.PreTokens(rules), known, most)
+        for t in texts * 2:
+            sure, late = costs.of(t)
+            assert sure + sum(size(p) * n for p, n in late.items()) == size(t) and not late.keys() & known.keys()
+
+
 def test_quality_rules(docs, corpus, empty):
     got = {r.doc_id: r.quality for r in quality_rules.quality_rules(docs, into="quality").collect()}
     for r in corpus:
