@@ -1,10 +1,11 @@
-"""Near-duplicate embeddings: spherical k-means cells, blocked cosine products inside them, one representative a group.
+"""Near-duplicate embeddings: spherical k-means cells, blocked cosine products between them, one representative a group.
 
-Centres are fitted on a bounded sample; every vector is assigned. A vector lives in its nearest cell and visits each cell whose
-border is within half the chord of the cosine: a linked pair's distances to the border between its homes add up to its chord at
-most, so one of both visits the other's home and no link is lost, whatever the dimension. A pair is counted in one cell only.
-Equal vectors are one row with a weight. A task compares one block of a cell's own vectors with one block of all that are there, and
-emits counts by vector and the groups its links make, not pairs.
+Centres are fitted on a bounded sample; every vector is assigned and lives in its nearest cell. A linked pair's distances to the border
+between its homes add up to its chord at most, so in each two cells only the vectors near enough to that border are multiplied, and no
+link is lost, whatever the dimension. Of these products only the leading components are taken first, with the lengths of the rest as a
+bound; pairs that pass are multiplied whole, and what is left is confirmed in double precision. Vectors are stored once, by cell, and
+not copied: they are cut into slabs of bounded size, and in turn each slab is broadcast and all vectors stream past it. Each two cells
+meet in one turn only. Equal vectors are one row with a weight. A task emits counts by vector and the groups its links make, not pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import drop, durable
 from .components import connected_components
 
-COSINE, CELL_ROWS, MOST_CELLS, SAMPLE, BLOCK = 0.9, 400, 4096, 20_000, 2048
+COSINE, CELL_ROWS, MOST_CELLS, SAMPLE, BLOCK = 0.9, 1600, 4096, 20_000, 2048
+#: Bytes of vectors broadcast at once, rows that a task gathers from its stream, rows and columns that are compared at once.
+SLAB_BYTES, STREAM, TALL, WIDE = 32 << 20, 32_768, 4096, 8192
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -33,7 +36,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = np.concatenate([(part @ c.T).argmax(1) for part in np.array_split(x, len(x) // 2048 + 1)])
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         size = np.sqrt((total * total).sum(1, keepdims=True))
@@ -41,6 +44,26 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
     return c
 
 
+def leading(x: np.ndarray, cosine: float, most: float = 5e-4) -> tuple[np.ndarray, int]:
+    """An orthonormal basis, the widest spread of the unit rows ``x`` first, and how many of its axes tell nearly all unlinked pairs apart."""
+    basis = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    some = (x[:1000] @ basis).astype(np.float32)
+    links = (some @ some.T >= cosine).mean()
+    for m in range(8, x.shape[1] * 3 // 4, 8):
+        z = shortened(some, m)
+        if (z @ z.T >= cosine).mean() - links <= most:
+            return basis, m
+    return basis, x.shape[1]
+
+
+def shortened(x: np.ndarray, m: int) -> np.ndarray:
+    """The first ``m`` components of rows, and the length of what is left: a product of two such rows is that of the whole ones at least."""
+    if m >= x.shape[1]:
+        return x
+    rest = x[:, m:]
+    return np.concatenate([x[:, :m], np.sqrt(np.einsum("ij,ij->i", rest, rest))[:, None]], 1)
+
+
 def usable(v):
     """A vector that is not null, has finite components only and is not zero."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -51,132 +74,319 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def visits(reps: DataFrame, centres: dict[int, tuple[int, np.ndarray]], cosine: float) -> DataFrame:
-    """(home, node, weight, probes, vec): a vector's home and all cells it lives in or visits.
+def homes(reps: DataFrame, centres: dict[int, tuple]) -> DataFrame:
+    """(home, node, weight, k1, k2, vec): the cell a vector lives in, and its components' bytes as they were given.
 
-    ``centres`` are, by length of vectors, the number of their first cell and the cells' centres; lengths that have none share cell -length.
+    ``centres`` are, by length of vectors, the number of their first cell, the cells' centres and what :func:`leading` gives; lengths that
+    have none share cell -length.
     """
-    margin = np.sqrt(2 - 2 * cosine) / 2
-    given = reps.sparkSession.sparkContext.broadcast({n: (base, c, np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))) for n, (base, c) in centres.items()})
-    fields = "home int, node long, weight long, probes array<int>, vec binary"
+    given = reps.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches):
-        known = given.value
+        known = {n: (base, c.astype(np.float32)) for n, (base, c, *_) in given.value.items()}
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(4)
             length = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
             for n in np.unique(length):
                 for at in np.array_split(idx := np.nonzero(length == n)[0], max(1, len(idx) // 1024)):
                     part = batch.take(pa.array(at))
-                    x = unit(rows_of(part.column(2)))
+                    raw = rows_of(part.column(4))
                     if int(n) in known:
-                        base, c, apart = known[int(n)]
-                        s = x @ c.T
-                        home = s.argmax(1)
-                        go = s.max(1)[:, None] - s <= margin * apart[home] + 1e-9
-                        go[np.arange(len(x)), home] = True
+                        base, c = known[int(n)]
+                        home = (short_unit(raw) @ c.T).argmax(1) + base
                     else:
-                        base, home, go = -int(n), np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
-                    i, cell = np.nonzero(go)
-                    cut = np.searchsorted(i, np.arange(len(x) + 1))
-                    vec = pa.array([r.tobytes() for r in x], pa.binary())
-                    probes = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((cell + base).astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array((home + base).astype(np.int32)), part.column(0), part.column(1), probes, vec], ["home", "node", "weight", "probes", "vec"])
-
-    return reps.select("node", "weight", "embedding").mapInArrow(run, fields)
-
-
-def compare_blocks(placed: DataFrame, cosine: float, block: int) -> DataFrame:
-    """(a, b, n): each linked vector of a task with the least one its links reach there (n null), and what each vector's links add up to (b null)."""
-    at = placed.withColumn("cell", F.explode("probes"))
-    size = at.groupBy("cell").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("cell") == F.col("home")).cast("long")).alias("own")).where("own > 0")
-    size = size.select("cell", F.ceil(F.col("own") / block).cast("int").alias("nl"), F.ceil(F.col("all") / block).cast("int").alias("nr"))
-    spot = F.xxhash64("node")
-    rows = at.join(size, "cell").withColumn("lb", F.pmod(spot, F.col("nl")).cast("int")).withColumn("rb", F.pmod(spot, F.col("nr")).cast("int"))
-    left = rows.where("cell = home").withColumn("side", F.lit(0)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
-    # only the left side's probes are read
-    right = rows.withColumn("probes", F.lit(None).cast("array<int>")).withColumn("side", F.lit(1)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
-    both = left.unionByName(right).select("cell", "lb", "rb", "side", "home", "node", "weight", "probes", "vec")
-
-    def compare(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        cell = t["cell"][0].as_py()
-        node, weight, home = (t[c].to_numpy() for c in ("node", "weight", "home"))
-        li, ri = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        a, b, n = [np.zeros(0, np.int64)] * 3
-        if len(li) and len(ri):
-            vec = t["vec"].combine_chunks()
-            get = lambda idx: np.frombuffer(b"".join(vec.take(pa.array(idx)).to_pylist()), np.float64).reshape(len(idx), -1)
-            x, y = get(li), get(ri)
-            hit = np.concatenate([x @ part.T >= cosine for part in np.array_split(y, max(1, len(ri) // 512))], 1)
-            # a pair that lives here counts once; one with a guest only where it is not met in an earlier cell as well
-            lives = home[ri] == cell
-            hit &= np.where(lives, node[li][:, None] < node[ri][None, :], node[li][:, None] != node[ri][None, :])
-            early = np.nonzero(~lives & (home[ri] < cell) & hit.any(0))[0]
-            if len(early):
-                probes = t["probes"].combine_chunks().take(pa.array(li))
-                seen = np.zeros((len(li), int(home[ri[early]].max()) - int(home[ri[early]].min()) + 1), bool)
-                low = int(home[ri[early]].min())
-                who = np.repeat(np.arange(len(li)), pa.compute.list_value_length(probes).to_numpy())
-                at = probes.flatten().to_numpy() - low
-                ok = (at >= 0) & (at < seen.shape[1])
-                seen[who[ok], at[ok]] = True
-                hit[:, early] &= ~seen[:, home[ri[early]] - low]
-            rows, cols = np.nonzero(hit.any(1))[0], np.nonzero(hit.any(0))[0]
-            if len(rows):
-                hit = hit[np.ix_(rows, cols)]
-                left, right = li[rows], ri[cols]
-                ids, place = np.unique(np.concatenate([node[left], node[right]]), return_inverse=True)
-                pl, pr = place[: len(left)], place[len(left) :]
-                n = np.zeros(len(ids), np.int64)
-                np.add.at(n, pl, (hit * weight[right]).sum(1))
-                np.add.at(n, pr, (hit.T * weight[left]).sum(1))
-                # least labels spread over the links of the block until none changes
-                label, most = np.arange(len(ids)), len(ids)
-                while True:
-                    new = label.copy()
-                    np.minimum.at(new, pl, np.where(hit, label[pr], most).min(1))
-                    np.minimum.at(new, pr, np.where(hit, label[pl][:, None], most).min(0))
-                    new = new[new]
-                    if (new == label).all():
+                        home = np.full(len(raw), -int(n))
+                    cut = np.arange(len(raw) + 1, dtype=np.int32) * np.int32(raw.dtype.itemsize * n)
+                    vec = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(raw))])
+                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *[part.column(i) for i in range(4)], vec], ["home", "node", "weight", "k1", "k2", "vec"])
+
+    return reps.select("node", "weight", "k1", "k2", "embedding").mapInArrow(run, "home int, node long, weight long, k1 long, k2 long, vec binary")
+
+
+def slabs(count: dict[int, int], most: int) -> list[list[tuple[int, int, int]]]:
+    """Cells in slabs of about ``most`` rows at most: (cell, part, parts) each; only a cell that is larger is parted, by hash."""
+    out, room = [], 0
+    for cell in sorted(count):
+        parts = -(-count[cell] // most)
+        if parts > 1:
+            out += [[(cell, i, parts)] for i in range(parts)]
+            room = 0
+        elif count[cell] <= room:
+            out[-1].append((cell, 0, 1))
+            room -= count[cell]
+        else:
+            out.append([(cell, 0, 1)])
+            room = most - count[cell]
+    return out
+
+
+def in_slab(slab: list[tuple[int, int, int]]):
+    whole = F.col("home").between(slab[0][0], slab[-1][0])
+    _, i, parts = slab[0]
+    return whole if parts == 1 else whole & (F.pmod(F.xxhash64("node"), F.lit(parts)) == i)
+
+
+def bytes_of(column: pa.Array, dtype) -> np.ndarray:
+    """Rows of numbers of a binary column whose values are all of one length."""
+    column = column.cast(pa.binary())
+    cut = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[cut[0] : cut[-1]].view(dtype).reshape(len(column), -1)
+
+
+def short_unit(raw: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in single precision, which finds candidates."""
+    return np.concatenate([unit(part).astype(np.float32) for part in np.array_split(raw, len(raw) // 4096 + 1)])
+
+
+class Slab:
+    """Vectors, sorted by cell and node, against which others are compared; what their links add up to is kept until a task ends."""
+
+    def __init__(self, home, node, weight, raw, first: int, centres, axes, cosine: float, block: int):
+        self.node, self.weight, self.raw = node, weight, raw
+        self.first, self.cosine, self.block = first, cosine, block
+        self.basis, self.m = axes or (None, raw.shape[1])
+        self.x = self.turned(self.raw)
+        self.z = shortened(self.x, self.m)
+        self.cells, self.cut = np.unique(home, return_index=True)
+        self.cut = np.append(self.cut, len(home))
+        self.slack = 1e-5 + 1e-6 * raw.shape[1]
+        if centres is not None:
+            self.c = (centres @ self.basis).astype(np.float32)
+            self.own = np.concatenate([self.x[s:e] @ self.c[cell - first] for cell, s, e in zip(self.cells, self.cut, self.cut[1:])])
+        self.start()
+
+    def turned(self, raw: np.ndarray) -> np.ndarray:
+        x = short_unit(raw)
+        return x if self.basis is None else x @ self.basis.astype(np.float32)
+
+    def start(self) -> None:
+        self.linked = np.zeros(len(self.node), np.int64)
+        self.up = np.arange(len(self.node))
+
+    def top(self, at: np.ndarray) -> np.ndarray:
+        """The least member known of the groups that the places ``at`` are in."""
+        r = self.up[at]
+        while (self.up[r] != r).any():
+            r = self.up[r]
+        self.up[at] = r
+        return r
+
+    def join(self, seen: dict, rows: np.ndarray, cols: np.ndarray, once: bool) -> None:
+        """Links among candidates, confirmed in double precision; ``once``: a pair counts on the side of its lesser node only."""
+        hit = unit(seen["raw"][rows]) @ unit(self.raw[cols]).T >= self.cosine
+        a, b = seen["node"][rows][:, None], self.node[cols][None, :]
+        hit &= a < b if once else a != b
+        r, c = hit.any(1), hit.any(0)
+        if not r.any():
+            return
+        hit, rows, cols = hit[np.ix_(r, c)], rows[r], cols[c]
+        seen["linked"][rows] += (hit * self.weight[cols]).sum(1)
+        self.linked[cols] += (hit.T * seen["weight"][rows]).sum(1)
+        old, most = seen["at"][rows], len(self.node)
+        linked = old >= 0
+        while True:
+            # least members spread over the links until none changes
+            have = self.top(cols)
+            least = np.where(hit, have, most).min(1)
+            least[linked] = np.minimum(least[linked], was := self.top(old[linked]))
+            new = np.where(hit, least[:, None], most).min(0)
+            if (new == have).all() and (least[linked] == was).all() and (np.where(hit, have, -1).max(1) == least).all():
+                break
+            np.minimum.at(self.up, have, new)
+            np.minimum.at(self.up, was, least[linked])
+        seen["at"][rows] = least
+
+    def join_pairs(self, seen: dict, rows: np.ndarray, cols: np.ndarray) -> None:
+        """As :meth:`join`, for candidates given one by one."""
+        hit = np.einsum("ij,ij->i", unit(seen["raw"][rows]), unit(self.raw[cols])) >= self.cosine
+        rows, cols = rows[hit], cols[hit]
+        np.add.at(seen["linked"], rows, self.weight[cols])
+        np.add.at(self.linked, cols, seen["weight"][rows])
+        who, place = np.unique(rows, return_inverse=True)
+        old, most = seen["at"][who], len(self.node)
+        linked = old >= 0
+        while len(who):
+            have, least = self.top(cols), np.full(len(who), most)
+            least[linked] = was = self.top(old[linked])
+            np.minimum.at(least, place, have)
+            if (least[place] == have).all() and (least[linked] == was).all():
+                break
+            np.minimum.at(self.up, have, least[place])
+            np.minimum.at(self.up, was, least[linked])
+        seen["at"][who] = least if len(who) else old
+
+    def meet(self, home: int, node: np.ndarray, weight: np.ndarray, raw: np.ndarray, x: np.ndarray):
+        """(a, b, n): linked ones of these vectors of cell ``home``, sorted by node, each with one of its group here and what its links add up to."""
+        seen = {"node": node, "raw": raw, "weight": weight, "linked": np.zeros(len(node), np.int64), "at": np.full(len(node), -1)}
+        low = np.float32(self.cosine - self.slack)
+        step = max(1, min(256, self.block))
+
+        z, few = shortened(x, self.m), []
+
+        def products(rows, cols, zx, zy, once=False):
+            for j in range(0, len(cols), WIDE):
+                p = zx @ zy[j : j + WIDE].T
+                if not p.size or p.max() < low:
+                    continue
+                p, part = p >= low, cols[j : j + WIDE]
+                if (at := np.flatnonzero(p)).size * 64 > p.size:
+                    r, c = rows[p.any(1)], part[p.any(0)]
+                    p = x[r] @ self.x[c].T >= low
+                    if p.any():
+                        self.join(seen, r[p.any(1)], c[p.any(0)], once)
+                else:
+                    r, c = rows[at // p.shape[1]], part[at % p.shape[1]]
+                    ok = node[r] < self.node[c] if once else node[r] != self.node[c]
+                    few.append((r[ok], c[ok]))
+
+        def confirm():
+            r, c = (np.concatenate([f[i] for f in few]) for i in range(2))
+            few.clear()
+            for i in range(0, len(r), STREAM):
+                at = slice(i, i + STREAM)
+                ok = np.einsum("ij,ij->i", x[r[at]], self.x[c[at]]) >= low
+                if ok.any():
+                    self.join_pairs(seen, r[at][ok], c[at][ok])
+
+        # of each two cells one is met by the other, as often the lower as the higher
+        odd = (self.cells + home) % 2 == 1
+        turn = np.where(self.cells > home, ~odd, odd & (self.cells != home))
+        if (own := np.nonzero(self.cells == home)[0]).size:
+            s, e = self.cut[own[0]], self.cut[own[0] + 1]
+            for i in range(0, len(node), step):
+                rows = np.arange(i, min(i + step, len(node)))
+                cols = np.arange(s + np.searchsorted(self.node[s:e], node[i], "right"), e)
+                products(rows, cols, z[rows], self.z[e - len(cols) : e], True)
+        others = np.nonzero(turn)[0] if home >= 0 else np.zeros(0, int)
+        if len(others):
+            c = self.c[self.cells[others] - self.first]
+            mine = self.c[home - self.first]
+            gap = np.ascontiguousarray(((x @ mine)[:, None] - x @ c.T).T)
+            least = gap.min(1)
+            far = np.sqrt(2 - 2 * self.cosine) * np.sqrt(((c - mine) ** 2).sum(1)) + self.slack
+            for k in np.nonzero(least <= far)[0]:
+                s, e = self.cut[others[k]], self.cut[others[k] + 1]
+                gy = self.own[s:e] - self.x[s:e] @ mine
+                if least[k] + (ly := gy.min()) > far[k]:
+                    continue
+                rows, cols = np.nonzero(gap[k] <= far[k] - ly)[0], np.nonzero(gy <= far[k] - least[k])[0]
+                rows, cols = rows[np.argsort(gap[k][rows])], cols[np.argsort(gy[cols])]
+                gx, gy = gap[k][rows], gy[cols]
+                cols = cols + s
+                zx, zy = z[rows], self.z[cols]
+                part = max(1, min(step, max(32, len(rows) // 12)))
+                wide = np.searchsorted(gy, far[k] - gx[::part], "right").tolist()
+                for i, n in zip(range(0, len(rows), part), wide):
+                    if not n:
                         break
-                    label = new
-                a, b = ids, ids[label]
-        linked = a != b
-        k = int(linked.sum())
-        return pa.table({"a": pa.array([*a[linked].tolist(), *a.tolist()], pa.int64()), "b": pa.array([*b[linked].tolist(), *[None] * len(a)], pa.int64()), "n": pa.array([*[None] * k, *n.tolist()], pa.int64())})
+                    products(rows[i : i + part], cols[:n], zx[i : i + part], zy[:n])
+                if len(few) > 1000:
+                    confirm()
+        if few:
+            confirm()
+        got = seen["linked"] > 0
+        return node[got], self.node[seen["at"][got]], seen["linked"][got]
+
+    def end(self):
+        got = np.nonzero(self.linked)[0]
+        return self.node[got], self.node[self.top(got)], self.linked[got]
+
+
+def compare(cells: DataFrame, slab: DataFrame, dtype, first: int, last: int, centres: np.ndarray | None, axes: tuple[np.ndarray, int] | None, cosine: float, block: int):
+    """(a, b, n): each linked vector of a task with one its links reach, itself perhaps, and what its links add up to there; and the broadcast that it needs.
+
+    ``slab`` has some rows of ``cells``; both are read by Spark, the slab into a broadcast. Cells ``first`` to ``last`` are of its length.
+    """
+    t = slab.select("home", "node", "weight", "vec").toArrow()
+    home, node, weight = (t[c].to_numpy() for c in ("home", "node", "weight"))
+    at = np.lexsort((node, home))
+    # tasks hold it once: what they get is in order
+    given = cells.sparkSession.sparkContext.broadcast((home[at], node[at], weight[at], bytes_of(t["vec"].combine_chunks(), dtype)[at], first, centres, axes, cosine, block))
+    del t
+
+    def run(batches):
+        here = Slab(*given.value)
+        names = ["a", "b", "n"]
+
+        def turn(batch):
+            home, node, weight = (batch[c].to_numpy() for c in ("home", "node", "weight"))
+            raw = bytes_of(batch["vec"].combine_chunks(), dtype)
+            x = here.turned(raw)
+            # a cell may go on in another file, whose nodes are sorted anew
+            cut = [0, *(np.nonzero((np.diff(home) != 0) | (np.diff(node) < 0))[0] + 1).tolist(), len(home)]
+            for s, e in zip(cut, cut[1:]):
+                for i in range(s, e, TALL):
+                    at = slice(i, min(e, i + TALL))
+                    a, b, n = here.meet(int(home[s]), node[at], weight[at], raw[at], x[at])
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names)
+
+        kept, size = [], 0
+        most = max(1, min(STREAM, SLAB_BYTES // here.raw[0].nbytes))
+        for batch in batches:
+            kept.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield from turn(pa.Table.from_batches(kept))
+                kept, size = [], 0
+        if size:
+            yield from turn(pa.Table.from_batches(kept))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in here.end()], names)
+
+    return cells.select("home", "node", "weight", "vec").where(F.col("home").between(first, last)).mapInArrow(run, "a long, b long, n long"), given
+
 
-    return both.groupBy("cell", "lb", "rb").applyInArrow(compare, "a long, b long, n long")
+def all_links(placed: DataFrame, dtype, centres: dict[int, tuple], cosine: float, block: int, slab_bytes: int) -> DataFrame:
+    """(a, b, n) of all vectors against all, a slab after the other; what is on disk is the vectors once, by cell, and the links' sums."""
+    spark = placed.sparkSession
+    count = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = max(2 * spark.sparkContext.defaultParallelism, -(-sum(count.values()) // 200_000))
+    cells = durable(placed.select("home", "node", "weight", "vec").repartitionByRange(files, "home", F.xxhash64("node")).sortWithinPartitions("home", "node"), "cells")
+    groups = [(size, base, base + len(c) - 1, c, axes) for size, (base, c, axes) in centres.items()] + [(-h, h, h, None, None) for h in count if h < 0]
+    found = []
+    for size, first, last, c, axes in groups:
+        for slab in slabs({h: n for h, n in count.items() if first <= h <= last}, max(1, slab_bytes // (np.dtype(dtype).itemsize * size))):
+            links, given = compare(cells, cells.where(in_slab(slab)), dtype, first, last, c, axes, cosine, block)
+            found.append(durable(links, "links"))
+            given.destroy()
+    drop(cells)
+    return spark.read.schema(found[0].schema).parquet(*[t._factloom_path for t in found])
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS, sample: int = SAMPLE, block: int = BLOCK, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding).
 
     Null, zero and non-finite vectors, and those with null components, have no links and stand alone, as do vectors of a length to
     all of another length. Null vec_ids are never linked or counted. Rows that repeat count as vectors of their own for
-    ``n_links``. ``sample`` vectors, those of least hash, fit the centres. An empty table gives an empty one. Other columns are not read.
+    ``n_links``. ``sample`` vectors, those of least hash, fit the centres; ``slab_bytes`` of vectors
+    are broadcast at once. An empty table gives an empty one. Other columns are not read.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = v.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    keyed = good.select("vec_id", "embedding", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
+    dtype = np.float32 if v.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    given = F.col("embedding").cast("array<float>" if dtype is np.float32 else "array<double>").alias("embedding")
+    keyed = good.select("vec_id", given, F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
     reps = durable(keyed.groupBy("k1", "k2").agg(F.min(F.struct("vec_id", "embedding")).alias("one"), F.count(F.lit(1)).alias("weight")).select("k1", "k2", F.col("one.vec_id").alias("node"), "weight", F.col("one.embedding").alias("embedding")), "vectors")
     n = reps.count()
     out = v.select("vec_id", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"), usable(F.col("embedding")).alias("good"))
     if n:
-        few = reps.select("embedding").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()["embedding"].combine_chunks()
+        # twice as many as are wanted pass before they are sorted
+        low = F.xxhash64("node") <= min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (2 * sample + 1000) // n)
+        few = reps.where(low).select("embedding").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()["embedding"].combine_chunks()
         lengths = pa.compute.list_value_length(few).to_numpy()
         centres, base = {}, 0
         for size in np.unique(lengths):
             # every length gets its share of the cells
             x = unit(rows_of(few.take(pa.array(np.nonzero(lengths == size)[0]))))
             cells = max(1, int(min(n // cell_rows, most_cells, len(few) // 4) * len(x) / len(few)))
-            centres[int(size)] = (base, spherical_kmeans(x, cells))
+            centres[int(size)] = (base, spherical_kmeans(x, cells), leading(x, cosine))
             base += cells
-        placed = durable(visits(reps, centres, cosine), "visits")
-        found = durable(compare_blocks(placed, cosine, block), "links")
-        comp = connected_components(found.where("b is not null"))
-        drop(placed)
-        counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+        placed = durable(homes(reps, centres), "homes")
+        drop(reps)
+        found = all_links(placed, dtype, centres, cosine, block, slab_bytes)
+        comp = connected_components(found)
+        counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+        reps = placed
         reps = reps.select("k1", "k2", "node", "weight").join(comp, "node", "left").join(counts, "node", "left")
     else:
         reps = reps.select("k1", "k2", "node", "weight", F.col("node").alias("component"), F.lit(0).cast("long").alias("linked"))

@@ -307,6 +307,36 @@ def test_vectors_of_low_rank_lose_no_link(spark):
     assert [got[i].component_id for i in range(len(x))] == component
 
 
+def test_vectors_past_many_slabs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16))
+    # one cell's vectors fill several slabs and files
+    x[200:500] = x[0] + 0.14 * rng.normal(size=(300, 16))
+    x[500:600] = x[:100] + 0.1 * rng.normal(size=(100, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    table = spark.createDataFrame([(int(i), x[i].tolist()) for i in rng.permutation(len(x))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(table, cell_rows=30, block=16, slab_bytes=150 * 16 * 8).collect()}
+    assert [got[i].n_links for i in range(len(x))] == links.sum(1).tolist()
+    component = list(range(len(x)))
+    while (new := [min([component[i], *(component[j] for j in np.nonzero(links[i])[0])]) for i in range(len(x))]) != component:
+        component = new
+    assert [(got[i].component_id, got[i].kept) for i in range(len(x))] == [(c, c == i) for i, c in enumerate(component)]
+    parts = embedding_dedup.slabs({-4: 7, 0: 25, 1: 4, 2: 6, 3: 1}, 10)
+    assert parts == [[(-4, 0, 1)], *[[(0, i, 3)] for i in range(3)], [(1, 0, 1), (2, 0, 1)], [(3, 0, 1)]]
+
+
+def test_vectors_are_not_copied_to_the_cells_they_are_near_to(spark):
+    n = 6000
+    x = np.random.default_rng(8).normal(size=(n, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = shuffled()
+    assert embedding_dedup.near_vectors(table).count() == n
+    # 15.7 times when each was copied to every cell it is near to
+    assert shuffled() - before < 4 * x.nbytes
+
+
 def test_packing(docs, corpus, empty):
     from tokenizers import Tokenizer
 
