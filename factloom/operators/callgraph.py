@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import durable
 from .fixpoint import closure, fixpoint, reachable
 
 
@@ -22,16 +23,62 @@ def descendants(classes: DataFrame, extends: DataFrame) -> DataFrame:
     return pairs.select(F.col("src").alias("anc"), F.col("dst").alias("des"))
 
 
-def cha_edges(classes: DataFrame, extends: DataFrame, methods: DataFrame, sites: DataFrame) -> DataFrame:
-    """(caller, target): a site calls the method of its name in each concrete class at or below the receiver's."""
+def targets(classes: DataFrame, extends: DataFrame, methods: DataFrame, sites: DataFrame) -> DataFrame:
+    """(recv, callee, class_id): for what sites ask, each concrete class at or below the receiver that has a method of the name."""
     concrete = descendants(classes, extends).join(classes.where("not is_abstract").select(F.col("class_id").alias("des")), "des")
-    # receivers and names are few against sites: what they ask for first, its targets next, and sites join those once
+    # receivers and names are few against sites: what they ask for first, and its targets next
     asked = sites.select("recv", "callee").distinct()
     classes_asked = concrete.join(asked.select(F.col("recv").alias("anc")).distinct(), "anc", "left_semi")
     answering = methods.join(asked.select(F.col("callee").alias("name")).distinct(), "name", "left_semi")
-    targets = classes_asked.join(answering.select(F.col("class_id").alias("des"), F.col("name").alias("callee")), "des")
-    targets = targets.select(F.col("anc").alias("recv"), "callee", F.col("des").alias("class_id")).join(asked, ["recv", "callee"], "left_semi")
-    return sites.join(targets, ["recv", "callee"]).select("caller", method_id(F.col("class_id"), F.col("callee")).alias("target"), "class_id").distinct()
+    found = classes_asked.join(answering.select(F.col("class_id").alias("des"), F.col("name").alias("callee")), "des")
+    return found.select(F.col("anc").alias("recv"), "callee", F.col("des").alias("class_id")).join(asked, ["recv", "callee"], "left_semi").distinct()
+
+
+class Dispatch:
+    """A call graph by groups of targets. ``sites`` are (caller, recv, callee), ``found`` what they ask for as of :func:`targets`.
+
+    Edges are callers times targets and grow with the square of a program. Targets that the same pairs of receiver and name ask for make
+    one group, each target in one; callers by groups and groups by targets grow with the program, and so do reachability and degrees over them.
+    """
+
+    #: Parts that the callers of a group are dealt to when edges are made.
+    PARTS = 8
+
+    def __init__(self, sites: DataFrame, found: DataFrame):
+        self.sites, self.found = sites, found.withColumn("target", method_id(F.col("class_id"), F.col("callee")))
+
+    @classmethod
+    def of(cls, classes: DataFrame, extends: DataFrame, methods: DataFrame, sites: DataFrame) -> Dispatch:
+        sites = durable(sites, "sites")
+        return cls(sites, durable(targets(classes, extends, methods, sites), "targets"))
+
+    def groups(self, *unit: str) -> tuple[DataFrame, DataFrame]:
+        """(caller, g1, g2), and (g1, g2, unit..): callers and targets by group, which a 128-bit digest names. ``unit`` are the columns that tell targets apart."""
+        sets = self.found.groupBy(*unit).agg(F.sort_array(F.collect_set(F.struct("recv", "callee"))).alias("asked"))
+        sets = sets.select(*[F.xxhash64(F.lit(i), "asked").alias(f"g{i}") for i in (1, 2)], "asked", *unit)
+        pairs = sets.select("g1", "g2", "asked").dropDuplicates(["g1", "g2"]).select("g1", "g2", F.explode("asked").alias("a")).select("g1", "g2", "a.*")
+        return self.sites.join(pairs, ["recv", "callee"]).select("caller", "g1", "g2").distinct(), sets.drop("asked")
+
+    def edges(self, *unit: str) -> DataFrame:
+        """(caller, unit..), each once: made in the last join and not moved after it."""
+        calls, members = self.groups(*unit)
+        spark = calls.sparkSession
+        # the join gives far more than it takes, so its tasks must not be made fewer by the size of what it takes
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        left = calls.withColumn("part", F.pmod(F.xxhash64("caller"), F.lit(self.PARTS)).cast("int"))
+        right = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.PARTS - 1))))
+        key = ["g1", "g2", "part"]
+        return left.repartition(n, *key).join(right.repartition(n, *key), key).select("caller", *unit)
+
+    def out_degree(self) -> DataFrame:
+        """(caller, n_targets)."""
+        calls, members = self.groups("target")
+        return calls.join(members.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")), ["g1", "g2"]).groupBy("caller").agg(F.sum("n").alias("n_targets"))
+
+
+def cha_edges(classes: DataFrame, extends: DataFrame, methods: DataFrame, sites: DataFrame) -> DataFrame:
+    """(caller, target, class_id): a site calls the method of its name in each concrete class at or below the receiver's."""
+    return Dispatch.of(classes, extends, methods, sites).edges("target", "class_id")
 
 
 def cha_reachable(entries: DataFrame, edges: DataFrame) -> DataFrame:

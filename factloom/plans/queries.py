@@ -22,8 +22,12 @@ def query(fn):
     return fn
 
 
+def _dispatch(s, d):
+    return cg.Dispatch.of(fact(s, d, "f_class"), fact(s, d, "f_extends"), fact(s, d, "f_method"), fact(s, d, "f_site"))
+
+
 def _cha(s, d):
-    return cg.cha_edges(fact(s, d, "f_class"), fact(s, d, "f_extends"), fact(s, d, "f_method"), fact(s, d, "f_site"))
+    return _dispatch(s, d).edges("target", "class_id")
 
 
 def _flow(s, d):
@@ -62,7 +66,7 @@ def rta_instantiated(s, d):
 
 @query
 def callgraph_outdegree(s, d):
-    return cg.out_degree(_cha(s, d))
+    return _dispatch(s, d).out_degree()
 
 
 @query

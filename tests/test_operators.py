@@ -25,6 +25,23 @@ def test_dispatch(spark, rows):
     assert rows(cg.rta_edges(entries, edges, allocs)) == [("main", "B.f"), ("main", "C.f")]
 
 
+def _diamond(spark):
+    """40 callers of f on A and B, above 30 classes of which C0 to C9 stand below both."""
+    classes = spark.createDataFrame([("A", True), ("B", True), *[(f"C{i}", False) for i in range(30)]], "class_id string, is_abstract boolean")
+    extends = spark.createDataFrame([(f"C{i}", "A") for i in range(20)] + [(f"C{i}", "B") for i in range(30) if i < 10 or i >= 20], "sub string, sup string")
+    methods = spark.createDataFrame([(f"C{i}", "f") for i in range(30)], "class_id string, name string")
+    sites = spark.createDataFrame([(f"m{i}", r, "f") for i in range(40) for r in "AB" if i % 2 == 0 or r == "A"], "caller string, recv string, callee string")
+    return cg.Dispatch.of(classes, extends, methods, sites)
+
+
+def test_out_degree_by_groups_of_targets(spark, rows):
+    d = _diamond(spark)
+    assert rows(d.out_degree()) == sorted((f"m{i}", 30 if i % 2 == 0 else 20) for i in range(40))
+    calls, members = d.groups("target")
+    # 1,000 edges: three groups stand for them
+    assert members.count() == 30 and calls.count() == 20 * 3 + 20 * 2 and members.select("g1", "g2").distinct().count() == 3
+
+
 def test_diamond_dominators_and_loops():
     f = Flow([1, 2, 3, 4, 5], [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 4)])
     assert f.idom(3) == 0 and f.idom(4) == 3 and f.idom(0) is None
