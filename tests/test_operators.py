@@ -42,6 +42,29 @@ def test_out_degree_by_groups_of_targets(spark, rows):
     assert members.count() == 30 and calls.count() == 20 * 3 + 20 * 2 and members.select("g1", "g2").distinct().count() == 3
 
 
+def test_edges_are_made_once_from_groups(spark, rows):
+    d = _diamond(spark)
+    assert rows(d.edges("target")) == sorted((f"m{i}", f"C{j}.f") for i in range(40) for j in range(30) if i % 2 == 0 or j < 20)
+    # nothing is shuffled after the join that makes them
+    plan = d.edges("target")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[: plan.index("Join")] and "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_reachability_by_groups_is_that_over_edges(spark, rows):
+    classes = spark.createDataFrame([("A", True), *[(f"C{i}", False) for i in range(6)]], "class_id string, is_abstract boolean")
+    extends = spark.createDataFrame([(f"C{i}", "A") for i in range(6)], "sub string, sup string")
+    methods = spark.createDataFrame([(f"C{i}", n) for i in range(6) for n in "fg"], "class_id string, name string")
+    sites = spark.createDataFrame([("main", "A", "f"), ("C1.f", "A", "g"), ("C2.f", "C3", "g"), ("C3.g", "C0", "f"), ("far", "C5", "g")], "caller string, recv string, callee string")
+    entries = spark.createDataFrame([("main",)], "method string")
+    # C3 is made by a method that is reached later than the call of it
+    allocs = spark.createDataFrame([("main", "C1"), ("main", "C2"), ("C1.g", "C3"), ("far", "C5")], "caller string, class_id string")
+    d, edges = cg.Dispatch.of(classes, extends, methods, sites), cg.cha_edges(classes, extends, methods, sites)
+    assert rows(d.reachable(entries)) == rows(cg.cha_reachable(entries, edges))
+    assert [rows(x) for x in d.rta(entries, allocs)] == [rows(x) for x in cg.rta(entries, edges, allocs)]
+    assert rows(d.rta_edges(entries, allocs)) == rows(cg.rta_edges(entries, edges, allocs))
+    assert ("C2.f", "C3.g") in rows(d.rta_edges(entries, allocs)) and ("main", "C0.f") not in rows(d.rta_edges(entries, allocs))
+
+
 def test_diamond_dominators_and_loops():
     f = Flow([1, 2, 3, 4, 5], [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 4)])
     assert f.idom(3) == 0 and f.idom(4) == 3 and f.idom(0) is None
