@@ -98,3 +98,11 @@ def test_a_component_that_holds_itself_ends(spark):
     files = spark.createDataFrame([("a.ets", code)], "path string, code string")
     got = {(r.root[-9:], r.method_sig[-9:], r.depth) for r in views.whole_trees(Program(parse_files(files, "p"))).collect()}
     assert got == {("A.build()", "A.build()", 0), ("A.build()", "B.build()", 1), ("B.build()", "B.build()", 0), ("B.build()", "A.build()", 1)}
+
+
+def test_parsing_tasks_are_bounded(spark, monkeypatch):
+    from factloom.plans import programs
+
+    monkeypatch.setattr(programs, "MOST_FILES", 3)
+    files = programs.source_files(spark, "/root/testdata/sf0.001", "calls")
+    assert files.rdd.getNumPartitions() == -(-files.count() // 3) > 1
