@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from factloom.operators import callgraph as cg
 from factloom.operators import cfg, ifds, pointsto, resolve, viewtree
 from factloom.operators.cfg import Flow
-from factloom.operators.fixpoint import closure
+from factloom.operators.fixpoint import Known, closure
 
 
 def test_closure_on_a_cycle_terminates(spark):
@@ -13,6 +13,16 @@ def test_closure_on_a_cycle_terminates(spark):
     assert closure(edges).count() == 36
 
 
+def test_known_rows_are_not_sent_to_the_driver(spark, rows):
+    known = Known(spark.range(50).toDF("x"))
+    known.add(spark.range(50).toDF("x"))
+    left = known.unknown(spark.range(40, 60).toDF("x"))
+    assert rows(left.select("x")) == [(i,) for i in range(50, 60)]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    known.close()
+
+
 def test_dispatch(spark, rows):
     classes = spark.createDataFrame([("A", True), ("B", False), ("C", False), ("D", False)], "class_id string, is_abstract boolean")
     extends = spark.createDataFrame([("B", "A"), ("C", "A"), ("D", "A")], "sub string, sup string")
