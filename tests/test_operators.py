@@ -110,6 +110,21 @@ def test_facts_return_to_every_call_site(spark, rows):
         assert rows(ifds.facts_at(ifds.path_edges(seeds, normal, call, exits, ret, through, owner))) == [(11, 1), (3, 1), (4, 1)]
 
 
+def test_flow_inside_methods_is_followed_once_and_not_in_every_round(spark, rows, monkeypatch):
+    # a chain of calls 10 -> 20 -> 30 -> 40, the last of which makes fact 1 that returns through all
+    normal = spark.createDataFrame([(40, 0, 41, 0), (40, 0, 41, 1)] + [(m + 1, d, m + 2, d) for m in (10, 20, 30) for d in (0, 1)], "n long, d long, n2 long, d2 long")
+    call = spark.createDataFrame([(m, 0, m + 10, 0) for m in (10, 20, 30)], "n long, d long, start long, d2 long")
+    exits = spark.createDataFrame([(12, 10), (22, 20), (32, 30), (41, 40)], "exit long, start long")
+    ret = spark.createDataFrame([(10, 22, 1, 11, 1), (20, 32, 1, 21, 1), (30, 41, 1, 31, 1)], "n long, exit long, d long, n2 long, d2 long")
+    through = spark.createDataFrame([(m, 0, m + 1, 0) for m in (10, 20, 30)], "n long, d long, n2 long, d2 long")
+    seeds = spark.createDataFrame([(10, 0, 10, 0)], "s long, d0 long, n long, d long")
+    calls, spread = [], ifds._spread
+    monkeypatch.setattr(ifds, "_spread", lambda *a: calls.append(1) or spread(*a))
+    got = rows(ifds.path_edges(seeds, normal, call, exits, ret, through, F.floor(F.col("n") / 10)))
+    assert len(calls) == 1 and (10, 0, 12, 1) in got
+    assert got == rows(ifds.path_edges(seeds, normal, call, exits, ret, through))
+
+
 def test_reexports_follow_aliases_and_end_on_cycles(spark, rows):
     imports = spark.createDataFrame([("a", "x"), ("c", "y")], "file string, name string")
     exports = spark.createDataFrame([("a", "x", None, "b", "z"), ("b", "z", "B.z", None, None), ("c", "y", None, "d", "y"), ("d", "y", None, "c", "y")], "file string, name string, entity string, from_file string, from_name string")
