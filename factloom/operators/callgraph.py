@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import durable
-from .fixpoint import closure, fixpoint, reachable
+from .fixpoint import closure, fixpoint, opened, reachable
 
 
 def method_id(class_id, name):
@@ -41,9 +41,6 @@ class Dispatch:
     one group, each target in one; callers by groups and groups by targets grow with the program, and so do reachability and degrees over them.
     """
 
-    #: Parts that the callers of a group are dealt to when edges are made.
-    PARTS = 8
-
     def __init__(self, sites: DataFrame, found: DataFrame):
         self.sites, self.found = sites, found.withColumn("target", method_id(F.col("class_id"), F.col("callee")))
 
@@ -61,14 +58,7 @@ class Dispatch:
 
     def edges(self, *unit: str) -> DataFrame:
         """(caller, unit..), each once: made in the last join and not moved after it."""
-        calls, members = self.groups(*unit)
-        spark = calls.sparkSession
-        # the join gives far more than it takes, so its tasks must not be made fewer by the size of what it takes
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-        left = calls.withColumn("part", F.pmod(F.xxhash64("caller"), F.lit(self.PARTS)).cast("int"))
-        right = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.PARTS - 1))))
-        key = ["g1", "g2", "part"]
-        return left.repartition(n, *key).join(right.repartition(n, *key), key).select("caller", *unit)
+        return opened(*self.groups(*unit)).select("caller", *unit)
 
     def out_degree(self) -> DataFrame:
         """(caller, n_targets)."""

@@ -107,3 +107,19 @@ def closure(edges: DataFrame, reflexive_nodes: DataFrame | None = None) -> DataF
     if reflexive_nodes is not None:
         out = out.unionByName(reflexive_nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct()
     return out
+
+
+#: Parts that the holders of a group are dealt to when it is opened.
+PARTS = 8
+
+
+def opened(holders: DataFrame, members: DataFrame) -> DataFrame:
+    """``holders`` (.., g1, g2) with the ``members`` (g1, g2, ..) of their groups. The rows, far more than either has, are made in the last join and not moved after it."""
+    spark = holders.sparkSession
+    # tasks must not be made fewer by the size of what the join takes
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rest = [c for c in holders.columns if c not in ("g1", "g2")]
+    left = holders.withColumn("part", F.pmod(F.xxhash64(*rest), F.lit(PARTS)).cast("int"))
+    right = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    key = ["g1", "g2", "part"]
+    return left.repartition(n, *key).join(right.repartition(n, *key), key).drop(*key)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import fixpoint
+from ..tables import durable
+from .fixpoint import closure, fixpoint, opened
 
 
 def ranked_lookup(candidates: DataFrame, keys: list[str], rank: list[str]) -> DataFrame:
@@ -25,8 +26,19 @@ def visible_names(scopes: DataFrame, own: DataFrame) -> DataFrame:
         own.where("is_exported").select("scope", "name", "entity"),
         lambda new, _: new.join(scopes.where("is_exported and parent is not null"), "scope").select(F.col("parent").alias("scope"), "name", "entity"),
     )
-    here = own.select("scope", "name", "entity").unionByName(up).distinct()
-    return fixpoint(here, lambda new, _: new.join(scopes.select("scope", F.col("parent")).withColumnRenamed("scope", "child"), F.col("scope") == F.col("parent")).select(F.col("child").alias("scope"), "name", "entity"))
+    here = durable(own.select("scope", "name", "entity").unionByName(up).distinct(), "here")
+    nodes = scopes.select(F.col("scope").alias("node")).unionByName(own.select(F.col("scope").alias("node"))).where("node is not null").distinct()
+    above = durable(closure(scopes.where("parent is not null").select(F.col("scope").alias("src"), F.col("parent").alias("dst")), nodes), "above")
+    # what a scope sees grows with the square of the scopes: names that the same topmost scopes hand down make one group
+    one_way = above.join(above.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+    # a row's ancestors are few, what lies below it is not: rows look up whether one above them has the same
+    over = here.join(one_way.withColumnRenamed("src", "scope"), "scope").join(here.withColumnRenamed("scope", "dst"), ["dst", "name", "entity"], "left_semi")
+    top = here.where("scope is not null").join(over.select("scope", "name", "entity"), ["scope", "name", "entity"], "left_anti")
+    sets = top.groupBy("name", "entity").agg(F.sort_array(F.collect_set("scope")).alias("tops"))
+    sets = sets.select(*[F.xxhash64(F.lit(i), "tops").alias(f"g{i}") for i in (1, 2)], "tops", "name", "entity")
+    handed = sets.select("g1", "g2", "tops").dropDuplicates(["g1", "g2"]).select("g1", "g2", F.explode("tops").alias("dst"))
+    holders = above.join(handed, "dst").select(F.col("src").alias("scope"), "g1", "g2").distinct()
+    return opened(holders, sets.drop("tops")).select("scope", "name", "entity").unionByName(here.where("scope is null"))
 
 
 def shadowed_names(scopes: DataFrame, own: DataFrame) -> DataFrame:

@@ -125,6 +125,17 @@ def test_flow_inside_methods_is_followed_once_and_not_in_every_round(spark, rows
     assert got == rows(ifds.path_edges(seeds, normal, call, exits, ret, through))
 
 
+def test_names_in_sight_are_made_once_from_groups(spark, rows):
+    # a root with two children, of which each has two; x2 stands below both children, and one entity climbs to the root
+    scopes = spark.createDataFrame([("r", None, True), ("a", "r", True), ("b", "r", False), ("x1", "a", True), ("x2", "a", False), ("x2", "b", False), ("x3", "b", True)], "scope string, parent string, is_exported boolean")
+    own = spark.createDataFrame([("x1", "n", "e1", True), ("x3", "n", "e3", True), ("x2", "n", "e2", True), ("a", "m", "e4", False)], "scope string, name string, entity string, is_exported boolean")
+    df = resolve.visible_names(scopes, own)
+    e1 = [(s, "n", "e1") for s in ("a", "b", "r", "x1", "x2", "x3")]
+    assert rows(df) == sorted([*e1, *[(s, "n", "e3") for s in ("b", "x2", "x3")], ("x2", "n", "e2"), *[(s, "m", "e4") for s in ("a", "x1", "x2")]])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
+
+
 def test_reexports_follow_aliases_and_end_on_cycles(spark, rows):
     imports = spark.createDataFrame([("a", "x"), ("c", "y")], "file string, name string")
     exports = spark.createDataFrame([("a", "x", None, "b", "z"), ("b", "z", "B.z", None, None), ("c", "y", None, "d", "y"), ("d", "y", None, "c", "y")], "file string, name string, entity string, from_file string, from_name string")
